@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +47,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Left join of rows with one row of groups per key, safe against hot keys.
 
     groups.size counts the rows of a key. A key with more than a thousandth of
@@ -55,10 +57,25 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     hot = groups.where(F.col(size) * 1000 > total)
     cold = groups.where(~(F.col(size) * 1000 > total))
     here = rows.join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    keys = [key] if isinstance(key, str) else key
+    rest = rows.join(F.broadcast(hot.select(*keys)), key, "left_anti").join(cold, key, "left")
     return here.unionByName(rest)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_sievelight_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    place = Path(tempfile.mkdtemp(prefix="sievelight-code-")) / "sievelight.zip"
+    with zipfile.ZipFile(place, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(place))
+    context._sievelight_shipped = True
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
