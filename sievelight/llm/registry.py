@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "mixing", "near_dedup", "decontaminate")
+MODULES = ("exact_dedup", "mixing", "near_dedup", "decontaminate", "html_text", "language_id")
 
 
 def _gather(name: str) -> dict:
