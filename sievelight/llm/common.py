@@ -32,11 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends. With free, the driver's garbage is
+    collected, so that Spark drops the shuffle files behind what was written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievelight/{tag}-{uuid.uuid4().hex}"
@@ -44,9 +45,35 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     jvm, jsc = spark._jvm, spark._jsc
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(place)
+    if free:
+        jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids whose bits are broadcast at most, bits for each, and keys broadcast at most.
+FEW_IDS, ID_BITS, FEW_KEYS = 1 << 22, 8, 1 << 20
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose key is in ids (distinct), and up to FEW_IDS ids maybe a few more:
+    then ids travel as a bit table of at most 2**25 bits, so that rows don't shuffle."""
+    n = ids.count()
+    if n > FEW_IDS:
+        return rows.join(ids, key, "left_semi")
+    size = 1 << max(10, (max(1, n) * ID_BITS - 1).bit_length())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    bits = ids.select(place(key).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    at = place(f"probe_{key}")
+    probed = rows.withColumn(f"probe_{key}", F.col(key))
+    hit = probed.join(F.broadcast(bits), F.shiftright(at, 6) == F.col("word"))
+    return hit.where(F.getbit("bits", at.bitwiseAND(63).cast("int")) == 1).select(*rows.columns)
+
+
+def small(keys: DataFrame, n: int) -> DataFrame:
+    """keys, marked for broadcast if n, their number, is small; else Spark's choice."""
+    return F.broadcast(keys) if n <= FEW_KEYS else keys
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Left join of rows with one row of groups per key, safe against hot keys.
 

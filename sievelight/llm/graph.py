@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import attach, materialise
+from sievelight.llm.common import materialise
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -13,10 +13,10 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
-def _stars(pairs: DataFrame, total: int) -> DataFrame:
-    """Adds to each pair the least of u's partners (least) and their number (degree)."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("degree"))
-    return attach(pairs, least, "u", "degree", total)
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Adds to each pair the least of u's partners. A hot u is pre-aggregated, and in
+    the join back its pairs are split by Spark's skew join."""
+    return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("least")), "u")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while now[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
-            _stars(both, 2 * now[0]).where("v > u")
+            _stars(both).where("v > u")
             .select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
         )
         large = materialise(large, "large")
-        small = _stars(large, now[0])
+        small = _stars(large)
         small = small.where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(
             small.select("u", F.col("least").alias("v"))
         ).distinct()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelight.llm.bytesops import mix64
-from sievelight.llm.common import attach, materialise, ship, table
+from sievelight.llm.common import attach, materialise, only, ship, small, table
 from sievelight.llm.graph import connected_components
 from sievelight.llm.shingles import shingle_sets
 
@@ -33,7 +33,7 @@ from sievelight.llm.shingles import shingle_sets
 M, BANDS, ROWS, BASE, RATE, TOP = 128, 32, 4, 1.02, 20.0, 1022
 #: Similarity in per cent; below MAYBE the estimate (deviation 0.04 at 0.75)
 #: isn't confirmed on full sets; below KIN two classes aren't of one family.
-PERCENT, MAYBE, KIN = 75, 0.55, 0.3
+PERCENT, SURE, MAYBE, KIN = 75, 0.8, 0.55, 0.3
 #: Classes of one block of a family.
 BLOCK = 256
 
@@ -190,45 +190,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(
         able.groupBy("fa", "fb", "n")
         .agg(F.min(F.struct("id", "regs")).alias("rep"), F.count(F.lit(1)).alias("copies"))
-        .select("fa", "fb", "n", "copies", F.col("rep.id").alias("id"), F.col("rep.regs").alias("regs")),
+        .select("fa", "fb", "n", "copies", F.col("rep.id").alias("id"), F.xxhash64("rep.id").alias("h"), F.col("rep.regs").alias("regs")),
         "classes",
     )
-    n_classes = classes.count()
 
-    keyed = classes.select("id", F.explode(F.transform(
+    # Nodes go by a hash of their id here; h ^ key is another order of a bucket's
+    # members for every bucket, and the first in that order is its centre.
+    keyed = classes.select("h", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda k: F.xxhash64(k, F.substring(F.col("regs"), k * (2 * ROWS) + 1, F.lit(2 * ROWS))),
     )).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("id", "key").alias("x"), F.col("id"))).alias("centre")).where("members > 1")
-    shared = attach(keyed, buckets.select("key", "members", F.col("centre.id").alias("centre")), "key", "members", n_classes * BANDS)
-    pairs = shared.where("centre is not null and centre != id").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
+    turned = F.col("h").bitwiseXOR(F.col("key"))
+    buckets = keyed.groupBy("key").agg(F.min(turned).alias("least"), F.max(turned).alias("most")).where("least != most")
+    buckets = materialise(buckets.select("key", F.col("least").bitwiseXOR(F.col("key")).alias("centre")), "buckets", free=True)
+    shared = keyed.join(small(buckets, buckets.count()), "key").where("h != centre")
+    pairs = shared.select(F.least("h", "centre").alias("ha"), F.greatest("h", "centre").alias("hb")).distinct()
+    side = lambda x: classes.select(F.col("h").alias(f"h{x}"), F.col("id").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
+    sized = pairs.join(side("a"), "ha").join(side("b"), "hb").select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
     schema = T.StructType([*_ids(id_type, "a", "b"), T.StructField("likely", T.DoubleType())])
-    likely = materialise(sized.mapInArrow(_estimated, schema).where(F.col("likely") >= KIN), "likely")
+    likely = materialise(sized.mapInArrow(_estimated, schema).where(F.col("likely") >= KIN), "likely", free=True)
 
-    # Of each class the likeliest partner is confirmed first; then what still
-    # lies between components, which is little.
-    test = likely.where(F.col("likely") >= MAYBE)
-    involved = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = source.where("id is not null").join(involved, "id", "left_semi")
+    # Of each class two partners are confirmed: the likeliest, and of those that are
+    # likely enough the one that most others share.
+    involved = materialise(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
+    texts = only(source.where("id is not null"), involved)
     schema = T.StructType([*_ids(id_type, "id"), T.StructField("items", T.BinaryType())])
-    sets = materialise(texts.mapInArrow(_sets, schema).where("length(items) > 0").distinct(), "sets")
-    both = test.select(F.col("a").alias("x"), "a", "b", "likely").unionByName(test.select(F.col("b").alias("x"), "a", "b", "likely"))
-    best = both.groupBy("x").agg(F.max(F.struct("likely", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = materialise(_confirm(best, sets, id_type), "links")
-    parts = materialise(connected_components(links), "parts")
-
-    def between(pairs: DataFrame) -> DataFrame:
-        ends = _labelled(pairs.withColumnRenamed("a", "id"), parts).withColumnRenamed("id", "a").withColumnRenamed("component", "ca")
-        return _labelled(ends.withColumnRenamed("b", "id"), parts).withColumnRenamed("id", "b").where("ca != component")
-
-    more = _confirm(between(test), sets, id_type)
-    links = materialise(links.unionByName(more), "links")
-    parts = materialise(connected_components(links), "parts")
-    strays = materialise(_settle(between(likely), involved, parts, classes, sets, id_type), "strays")
+    sets = materialise(texts.mapInArrow(_sets, schema).where("length(items) > 0"), "sets", free=True)
+    test = likely.where(F.col("likely") >= MAYBE)
+    both = test.select(F.col("a").alias("x"), F.col("b").alias("y"), "likely").unionByName(test.select(F.col("b").alias("x"), F.col("a").alias("y"), "likely"))
+    hub = F.min(F.when(F.col("likely") >= SURE, F.struct(F.xxhash64("y"), F.col("y"))))
+    best = both.groupBy("x").agg(F.max_by("y", "likely").alias("likeliest"), hub.alias("hub")).select("x", F.explode(F.array("likeliest", "hub.y")).alias("y"))
+    best = best.where("y is not null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = materialise(_confirm(best, sets, id_type), "links", free=True)
+    parts = connected_components(links)
+
+    ends = _labelled(likely.withColumnRenamed("a", "id"), parts).withColumnRenamed("id", "a").withColumnRenamed("component", "ca")
+    cross = _labelled(ends.withColumnRenamed("b", "id"), parts).withColumnRenamed("id", "b").withColumnRenamed("component", "cb")
+    strays = _settle(cross.where("ca != cb"), involved, parts, classes, sets, id_type)
     if not strays.isEmpty():
-        parts = materialise(connected_components(links.unionByName(strays)), "parts")
+        parts = connected_components(links.unionByName(strays))
 
     of_class = _labelled(classes.select("id", "fa", "fb", "n", "copies"), parts).drop("id")
     found = attach(able.select("id", "n", "fa", "fb"), of_class, ["fa", "fb", "n"], "copies", sketched.count())
@@ -244,11 +244,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _settle(cross: DataFrame, involved: DataFrame, parts: DataFrame, classes: DataFrame, sets: DataFrame, id_type: T.DataType) -> DataFrame:
     """Links that join the components of one family of classes, found without fail:
     each class outside the family's largest component against all its classes."""
-    kin = materialise(connected_components(cross.select(F.col("ca").alias("u"), F.col("component").alias("v"))), "families")
+    kin = connected_components(cross.select(F.col("ca").alias("u"), F.col("cb").alias("v")))
+    if kin.isEmpty():
+        return kin.select(F.col("node").alias("u"), F.col("component").alias("v"))
     family = _labelled(involved, parts).join(kin.select(F.col("node").alias("component"), F.col("component").alias("family")), "component")
     size = family.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = size.groupBy("family").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("parts")).where("all > 2")
-    family = family.join(largest.select("family", "all", F.col("most.component").alias("main")), "family")
+    largest = size.groupBy("family").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("all"))
+    family = materialise(family.join(largest.select("family", "all", F.col("most.component").alias("main")), "family"), "family")
     blocks = F.ceil(F.col("all") / BLOCK).cast("long")
     member = family.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("blocks", blocks)
     stray = member.where("component != main")
@@ -258,8 +260,11 @@ def _settle(cross: DataFrame, involved: DataFrame, parts: DataFrame, classes: Da
     strays = stray.join(stray_blocks, "family").withColumn("s_block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("s_blocks")))
     strays = strays.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("stray", F.lit(True))
     keep = ["id", "component", "family", "block", "s_block", "stray"]
-    full = rows.select(*keep).unionByName(strays.select(*keep)).join(classes.select("id", "regs"), "id").join(sets, "id")
-    return full.groupBy("family", "block", "s_block").applyInArrow(_settled, T.StructType(_ids(id_type, "u", "v")))
+    known = only(classes.select("id", "regs"), family.select("id").distinct())
+    known = known.join(only(sets, family.select("id").distinct()), "id")
+    full = rows.select(*keep).unionByName(strays.select(*keep)).join(known, "id")
+    found = full.groupBy("family", "block", "s_block").applyInArrow(_settled, T.StructType(_ids(id_type, "u", "v")))
+    return materialise(found, "strays", free=True)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
