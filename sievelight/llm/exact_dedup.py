@@ -34,7 +34,8 @@ def repeated_bits(digests: DataFrame, log_bits: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, row_hash (of the
+    text as it is, to tell rows with one id apart).
 
     Texts are equal when identical after deleting ASCII white space. Null texts
     count as empty and equal each other. Of equal texts the one with the most
@@ -49,6 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.col(id_col).alias("id"),
             F.unhex(F.sha2(F.regexp_replace(text, f"[{SPACE}]+", ""), 256)).alias("digest"),
             F.char_length(text).cast("long").alias("n_points"),
+            F.xxhash64(text).alias("row_hash"),
         ),
         "digests",
     )
@@ -66,10 +68,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hit = F.lit(True)
     for k in ("p0", "p1"):
         hit = hit & (F.coalesce(F.getbit(f"b_{k}", F.col(k).bitwiseAND(63).cast("int")), F.lit(0)) == 1)
-    probed = materialise(probed.select("id", "digest", "n_points", hit.alias("suspect")), "suspects")
+    probed = materialise(probed.select("id", "digest", "n_points", "row_hash", hit.alias("suspect")), "suspects")
 
     unique = probed.where("not suspect").select(
-        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest"
+        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest", "row_hash"
     )
     suspects = probed.where("suspect").drop("suspect")
     groups = suspects.groupBy("digest").agg(
@@ -77,17 +79,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.min(F.struct(-F.col("n_points"), F.col("id").isNull(), F.col("id"))).alias("best"),
     ).select("digest", "group_size", F.col("best.id").alias("keep_id"))
     found = attach(suspects, groups, "digest", "group_size", n)
-    return unique.unionByName(found.select("id", "keep_id", "group_size", "digest")).select(
+    return unique.unionByName(found.select("id", "keep_id", "group_size", "digest", "row_hash")).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "row_hash",
     )
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
 SQL = r"""

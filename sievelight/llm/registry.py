@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "mixing", "near_dedup", "decontaminate", "html_text", "language_id", "license_scan")
+MODULES = ("exact_dedup", "mixing", "near_dedup", "decontaminate", "html_text", "language_id", "license_scan", "toxicity")
 
 
 def _gather(name: str) -> dict:
