@@ -21,7 +21,7 @@ from sievelight.llm.common import SPACE, materialise, table, text_or_empty
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Tokens of a block, slots of an output shard, rounds of a permutation,
 #: documents of a prefix-sum bucket, slots made from one row at a time.
-BLOCK_TOKENS, SHARD_SLOTS, ROUNDS, BUCKET_DOCS, CHUNK = 128, 8192, 12, 4096, 1 << 16
+BLOCK_TOKENS, SHARD_SLOTS, ROUNDS, BUCKET_DOCS, CHUNK = 128, 8192, 12, 4096, 1 << 14
 
 
 def permuted(i: Column, n: Column, *keys: Column, rounds: int = ROUNDS) -> Column:
@@ -117,9 +117,12 @@ def mix_plan(
         .select("id", "source", "skey", "size", "source_size", "target", (F.col("boff") + F.col("upto") - F.col("size")).alias("start"))
     )
 
+    # Few small rows that grow to many: their number of partitions is given, so that
+    # they aren't put together by their size.
+    n_chunks = targets.agg(F.coalesce(F.sum(F.ceil(F.col("n_slots") / CHUNK)), F.lit(0))).first()[0]
     chunks = targets.where("n_slots > 0").withColumn(
         "chunk", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {CHUNK})"))
-    ).repartition("skey", "chunk")
+    ).repartition(max(1, min(int(n_chunks), 20_000)), "skey", "chunk")
     slots = chunks.withColumn(
         "q", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(n_slots, (chunk + 1) * {CHUNK}) - 1)"))
     )
@@ -151,7 +154,7 @@ def mixed_documents(placed: DataFrame, slots: DataFrame, block_tokens: int = BLO
     same = ["id", "source", "skey", "start", "size", "source_size", "target"]
     taken = (
         pieces(placed, block_tokens)
-        .join(times, ["skey", "block"], "left")
+        .join(times.hint("merge"), ["skey", "block"], "left")  # Spark takes it for small
         .groupBy(*same)
         .agg(F.sum(F.col("piece") * F.coalesce("times", F.lit(0))).alias("taken"))
     )
