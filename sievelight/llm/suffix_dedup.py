@@ -13,7 +13,8 @@ with the bytes they cover, is a context.
    brings equal windows together; previous and next smaller positions in suffix
    order tell which windows have an earlier match (longest previous factor of
    LENGTH or more). An anchor with more contexts than a block holds is dealt to
-   several; the windows that stay first in theirs are compared by hash.
+   several; the windows that stay first in theirs are compared by hash: up to NEAR
+   neighbours share one row, keyed by the bytes common to all of them.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from sievelight.llm.bytesops import mix64
 from sievelight.llm.common import materialise, only, ship, table, text_or_empty
 from sievelight.llm.decontaminate import merged
 
-#: Bytes of a repeat, of an anchor, of the windows worked on at a time, of a block's contexts.
-LENGTH, K, SLAB, BLOCK = 100, 32, 1 << 19, 1 << 20
+#: Bytes of a repeat, of an anchor, of the windows worked on at a time, of a block's
+#: contexts; neighbouring windows that go together where an anchor is split.
+LENGTH, K, SLAB, BLOCK, NEAR = 100, 32, 1 << 19, 1 << 20, 8
 _PLACE = np.uint64((1 << 24) - 1)
 
 MARKS = "rid bigint, first int, stop int"
@@ -201,6 +203,43 @@ def previous_factors(text: np.ndarray, runs: np.ndarray, place: np.ndarray) -> n
     return out
 
 
+MATCHED = ROWS + ", starts array<int>, hashes array<bigint>"
+
+
+def _with_windows(rows: pa.RecordBatch, at: np.ndarray | None = None, starts: np.ndarray | None = None, hashes: np.ndarray | None = None) -> pa.RecordBatch:
+    """rows with lists of windows: list k has the entries at[k] to at[k + 1]."""
+    if at is None:
+        at, starts, hashes = np.zeros(rows.num_rows + 1, int), np.zeros(0, int), np.zeros(0, np.int64)
+    lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (starts.astype(np.int32), hashes)]
+    return pa.RecordBatch.from_arrays([*rows.columns, *lists], [*rows.schema.names, "starts", "hashes"])
+
+
+def _survivors(
+    text: np.ndarray, runs: np.ndarray, size: np.ndarray, start: np.ndarray, left: np.ndarray, where: np.ndarray, rid: np.ndarray, anchor: int
+) -> Iterator[pa.RecordBatch]:
+    """The windows (at the places left) of one anchor's contexts that are first in their block.
+
+    Windows whose anchor stands NEAR * r to NEAR * r + NEAR - 1 bytes after their start
+    share the bytes from there on; a row has those of one context, under a hash of
+    these common bytes and r. Equal windows have equal keys.
+    """
+    if not len(left):
+        return
+    at = np.arange(len(text) - K + 1)
+    gram = bytesops.word_hashes(text, at, at + K).view(np.int64)
+    places = np.flatnonzero((gram == anchor) & (at + K <= (start + size)[runs[at]]))
+    place = places[np.searchsorted(places, left)]
+    r = (place - left) // NEAR
+    new = np.concatenate([[True], (runs[left][1:] != runs[left][:-1]) | (r[1:] != r[:-1]) | (place[1:] != place[:-1])])
+    cut = np.flatnonzero(new)
+    shared = place[cut] - NEAR * r[cut]
+    key = mix64(bytesops.word_hashes(text, shared, shared + LENGTH - NEAR + 1) + r[cut].astype(np.uint64)).view(np.int64)
+    h = bytesops.word_hashes(text, left, left + LENGTH).view(np.int64)
+    first = left[cut]
+    rows = _rows(np.full(len(cut), 2), np.full(len(cut), anchor), key, rid[runs[first]], where[first], np.full(len(cut), LENGTH))
+    yield _with_windows(rows, np.append(cut, len(left)), where[left], h)
+
+
 def _matched(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def settle(rid: np.ndarray, first: np.ndarray, pieces: list[bytes], split: int | None) -> Iterator[pa.RecordBatch]:
         text = np.frombuffer(b"".join(pieces), np.uint8)
@@ -220,11 +259,9 @@ def _matched(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         last = goes & ~np.concatenate([goes[1:] & (runs[1:] == runs[:-1]), [False]])
         a, b = np.flatnonzero(edge), np.flatnonzero(last)
         zero = np.zeros(len(a), np.int64)
-        yield _rows(zero + 1, zero, zero, rid[runs[a]], where[a], b - a + LENGTH)
+        yield _with_windows(_rows(zero + 1, zero, zero, rid[runs[a]], where[a], b - a + LENGTH))
         if split is not None:
-            left = np.flatnonzero(able & ~goes)
-            h = bytesops.word_hashes(text, left, left + LENGTH).view(np.int64)
-            yield _rows(np.full(len(left), 2), np.full(len(left), split), h, rid[runs[left]], where[left], np.full(len(left), LENGTH))
+            yield from _survivors(text, runs, size, start, np.flatnonzero(able & ~goes), where, rid, split)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []  # whole anchors
@@ -321,11 +358,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = only(rows.select("rid", "text"), wanted.select("rid"), "rid")
     pieces = texts.join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(_cut, "anchor bigint, rid bigint, first int, piece binary")
     pieces = pieces.repartition("anchor").sortWithinPartitions("anchor", "rid", "first")
-    matched = materialise(pieces.mapInArrow(_matched(block), ROWS), "matched", free=True)
+    matched = materialise(pieces.mapInArrow(_matched(block), MATCHED), "matched", free=True)
+    # Of an anchor's blocks: rows with common bytes in several, then their equal windows.
+    several = F.count(F.lit(1)).over(Window.partitionBy("anchor", "h"))
+    near = matched.where("kind = 2").withColumn("several", several).where("several > 1")
+    windows = near.select("anchor", "rid", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("anchor", "rid", F.col("w.starts").alias("first"), F.col("w.hashes").alias("h"))
     order = Window.partitionBy("anchor", "h").orderBy("rid", "first")
-    late = matched.where("kind = 2").withColumn("nth", F.row_number().over(order)).where("nth > 1")
+    late = windows.withColumn("nth", F.row_number().over(order)).where("nth > 1").select("rid", "first", F.lit(LENGTH).alias("length"))
 
-    going = sifted.where("kind = 1").unionByName(matched.where("kind = 1")).unionByName(late.drop("nth"))
+    place = ["rid", "first", "length"]
+    going = sifted.where("kind = 1").select(*place).unionByName(matched.where("kind = 1").select(*place)).unionByName(late)
     marks = going.groupBy("rid").agg(F.collect_list(F.struct(F.col("first"), (F.col("first") + F.col("length")).alias("stop"))).alias("marks"))
     marks = materialise(marks, "marks", free=True)
     schema = "rid bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<first: bigint, stop: bigint>>"
