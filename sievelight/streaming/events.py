@@ -53,7 +53,7 @@ def replayed_metrics(spark: SparkSession, source: str) -> DataFrame:
 def hourly(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Counts and sums per event type and tumbling window, in batch or as a stream: rows
     later than the watermark are dropped in a stream (an extension)."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     rolled = e.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return rolled.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
