@@ -22,7 +22,7 @@ from sievelight.llm.common import table, text_or_empty
 #: Phrases and labels of the base scan.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Share of a template's words that a block must hold.
-THRESHOLD = 0.9
+THRESHOLD = 0.95
 TEMPLATES = (
     ("agpl", "licensed under the gnu affero general public license version 3"),
     ("apache", "licensed under the apache license version 2.0"),
