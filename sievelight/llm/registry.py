@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "mixing", "near_dedup", "decontaminate", "html_text", "language_id", "license_scan", "toxicity", "suffix_dedup")
+MODULES = ("chat_format", "exact_dedup", "mixing", "near_dedup", "decontaminate", "html_text", "language_id", "license_scan", "toxicity", "suffix_dedup")
 
 
 def _gather(name: str) -> dict:

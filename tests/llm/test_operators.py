@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sievelight.llm import (
     bytesops,
+    chat_format,
     decontaminate,
     exact_dedup,
     fm_index,
@@ -291,6 +292,25 @@ def test_license_scan(spark, none):
     assert by[None][4] == "reserved" and license_scan.license_labels(none).count() == 0
 
 
+# chat formatting
+
+
+def test_chat_format(spark):
+    turns = [
+        (0, 1, "assistant", "hello"), (0, 0, "user", "hi"), (0, 2, "user", "a <|end|> b"), (1, 0, "user", "hi"), (1, 1, "assistant", "bye"), (1, 2, "assistant", None),
+        (2, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, None, "x"), (None, 0, "user", "lost"), (7, None, "assistant", "z"),
+    ]
+    df = spark.createDataFrame([(*t, "extra") for t in turns], "conv_id long, turn long, role string, text string, prompt string")
+    by = {r.pair_id: r for r in chat_format.preference_pairs(df, F.expr("conv_id div 2"), F.col("conv_id") % 2 == 0).collect()}
+    r = by[0]
+    assert (r.chosen_id, r.rejected_id, r.n_prompt_turns, r.prompt) == (0, 1, 1, "<|user|>\nhi<|end|>\n")
+    assert r.chosen == "<|assistant|>\nhello<|end|>\n<|user|>\na <||end|> b<|end|>\n"
+    assert [r.chosen[s.first : s.stop] for s in r.chosen_spans] == ["hello<|end|>\n"] and [r.rejected[s.first : s.stop] for s in r.rejected_spans] == ["bye<|end|>\n", "<|end|>\n"]
+    assert by[1].n_prompt_turns == 1 and by[1].chosen == by[1].rejected == ""
+    assert by[2].rejected_id is None and by[2].n_prompt_turns == 0 and by[2].rejected == "" and by[3].chosen_id is None and set(by) == {0, 1, 2, 3}
+    assert chat_format.preference_pairs(df.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
+
+
 # HTML
 
 
@@ -413,5 +433,5 @@ def test_registry(spark, sf_dir):
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {f"op{k}" for k in (1, 2, 3, 4, 5, 7, 8, 9, 10)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{k}" for k in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(registry.oracle_sql()) <= set(registry.queries())
