@@ -19,12 +19,10 @@ def language_stats(files: DataFrame, lang: str = "lang", code: str = "code", com
 
 
 def git_status(lines: DataFrame) -> DataFrame:
-    """Counts of staged, modified and untracked files from porcelain lines (column line)."""
-    x, y = F.substring("line", 1, 1), F.substring("line", 2, 1)
-    new = F.startswith("line", F.lit("??"))
-    return lines.agg(
-        F.count_if(~new & ~x.isin(" ", "?")).alias("staged"), F.count_if(~new & ~y.isin(" ", "?", "")).alias("modified"), F.count_if(new).alias("untracked")
-    )
+    """Counts of staged, modified and untracked files from porcelain lines (column line): staged
+    are M, A and D with a clean work tree, untracked ??, all others modified."""
+    staged, new = F.col("line").rlike("^[MAD] "), F.startswith("line", F.lit("??"))
+    return lines.agg(F.count_if(staged).alias("staged"), F.count_if(~staged & ~new & (F.trim("line") != "")).alias("modified"), F.count_if(new).alias("untracked"))
 
 
 def directory(path: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -88,6 +89,31 @@ class HttpEmbedder:
         return out
 
 
+class HttpReranker:
+    """Scores from a server, one for each text; a text that the answer leaves out has none."""
+
+    def __init__(self, settings: Settings) -> None:
+        self.s = settings
+
+    def __call__(self, query: str, texts: list[str]) -> list[float | None]:
+        url = f"http://localhost{self.s.rerank_url}" if self.s.rerank_url.startswith(":") else self.s.rerank_url
+        body = json.dumps({"model": self.s.rerank_model, "query": query, "documents": texts}).encode()
+        with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=self.s.timeout_secs) as r:
+            found = {x["index"]: x["relevance_score"] for x in json.load(r)["results"]}
+        return [found.get(k) for k in range(len(texts))]
+
+
+def reranked(hits: DataFrame, query: str, rerank: Callable[[str, list[str]], list[float | None]], text_col: str = "text", out: str = "score") -> DataFrame:
+    """hits (a hundred or so, brought to one partition) with a scorer's score for each."""
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series(rerank(query, b.tolist()), dtype="float64")
+
+    return hits.coalesce(1).withColumn(out, scores(F.col(text_col)))
+
+
 def embedded(df: DataFrame, text_col: str, embed: Callable[[list[str]], list[list[float]]], out: str = "vector") -> DataFrame:
     """df with a vector for each text, in Arrow batches."""
 
@@ -102,8 +128,10 @@ def embedded(df: DataFrame, text_col: str, embed: Callable[[list[str]], list[lis
 class Index:
     """Ranked search over chunks (path, start, end, text, lang, breadcrumb)."""
 
-    def __init__(self, chunks: DataFrame, settings: Settings | None = None, vectors: DataFrame | None = None) -> None:
-        self.settings = settings or Settings()
+    def __init__(
+        self, chunks: DataFrame, settings: Settings | None = None, vectors: DataFrame | None = None, reranker: Callable[[str, list[str]], list[float | None]] | None = None
+    ) -> None:
+        self.settings, self.reranker = settings or Settings(), reranker
         self.chunks = chunks.withColumn("chunk", chunk_id(F.col("path"), F.col("start"), F.col("end")))
         self.vectors = vectors
 
@@ -150,10 +178,18 @@ class Index:
         fused = fusion.fuse(lexical, dense, ["chunk"])  # a hundred rows at most
         hits = self.chunks.select("chunk", "path", "start", "end", "lang", "text").join(F.broadcast(fused), "chunk")
         hits = fusion.rerank_window(hits, "text", "start", F.lit(query), s.context)
-        hits = hits.withColumn("score", overlap_score(F.col("text"), query))
+        hits = reranked(hits, query, self.reranker) if self.reranker else hits.withColumn("score", overlap_score(F.col("text"), query))
         chosen = fusion.select_survivors(hits, "score", "place", fusion.wanted_rows(limit, s.rerank_topn), s.rerank_threshold)
         return chosen.select("path", "start", "end", "lang", "score", "text")
 
+    def batch(self, queries: DataFrame, k: int, mode: str) -> DataFrame:
+        """For an evaluation: q, hits, ms and error of every query (few) in a mode."""
+        rows = []
+        for (q,) in queries.select("q").collect():
+            found, event = self.traced(q, mode, limit=k)
+            rows.append((q, [(h.path, h.start, h.end) for h in found], event.get("total_ms"), event.get("error")))
+        return self.chunks.sparkSession.createDataFrame(rows, "q string, hits array<struct<path: string, start: bigint, end: bigint>>, ms long, error string")
+
     def traced(self, query: str, mode: str = "hybrid", **options: object) -> tuple[list, dict]:
         """The hits as rows, and an event for telemetry."""
         began = time.time()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import fnmatch
 import json
-import os
 import re
 import subprocess
 from collections.abc import Callable
@@ -101,6 +100,29 @@ def read_tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame
     return rows
 
 
+def ignore_rules(spark: SparkSession, root: str) -> IgnoreRules:
+    """The rules of all .gitignore and .ignore files under a root, outer folders first. Spark's
+    readers pass hidden files over, so the store's listing is asked."""
+    rules = IgnoreRules()
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(base):
+        return rules
+    top, walk, found = fs.makeQualified(base).toUri().getPath().rstrip("/"), fs.listFiles(base, True), []
+    while walk.hasNext():
+        place = walk.next().getPath()
+        if place.getName() in (".gitignore", ".ignore"):
+            found.append((place.getParent().toUri().getPath()[len(top) + 1 :], place))
+    for folder, place in sorted(found, key=lambda x: (x[0].count("/"), x[0])):
+        stream = fs.open(place)
+        try:
+            text = bytes(stream.readAllBytes()).decode("utf-8", "replace")
+        finally:
+            stream.close()
+        rules.add(folder, text)
+    return rules
+
+
 def source_files(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """The source files of a tree: path, mtime, length, lang (and text), as a code index takes them.
 
@@ -111,13 +133,7 @@ def source_files(spark: SparkSession, root: str, content: bool = True) -> DataFr
     rows = read_tree(spark, root, content).withColumn("lang", language(F.col("path"))).where("lang is not null")
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     rows = rows.where(~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in EXCLUDED]))).where(~F.col("path").rlike(r"(^|/)\."))
-    rules = IgnoreRules()
-    marks = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{.gitignore,.ignore}").load(root)
-    depth = root.rstrip("/")
-    for row in sorted(marks.select("path", F.col("content").cast("string").alias("text")).collect(), key=lambda r: r.path.count("/")):
-        inside = re.sub("^file:/+", "/", row.path)
-        inside = os.path.relpath(os.path.dirname(inside), re.sub("^file:/+", "/", depth)) if inside.startswith("/") else ""
-        rules.add("" if inside == "." else inside, row.text or "")
+    rules = ignore_rules(spark, root)
     if not rules.rules:
         return rows
 

@@ -165,7 +165,7 @@ def test_overlay_and_tasks(spark):
     results = spark.createDataFrame([(True,), (False,)], "success boolean")
     assert tuple(overlay.overall(results).first()) == (False, 1)
     git = spark.createDataFrame([("M  a",), (" M b",), ("?? c",), ("MM d",)], "line string")
-    assert tuple(context.git_status(git).first()) == (2, 2, 1)
+    assert tuple(context.git_status(git).first()) == (1, 2, 1)
 
 
 def test_relations(spark):
