@@ -8,7 +8,21 @@ from pyspark.sql import functions as F
 from sievelight.functions.text import braced
 from sievelight.operators.chunking import effective_lines
 
+#: The patterns of TODO marks, imports and task names.
 TODO = r"(?i)(?://|#|<!--|/\*)\s*(TODO|FIXME|HACK|XXX)\b:?"
+TODO_START = r"(?i)^(?://|#|<!--|/\*)\s*(?:TODO|FIXME|HACK|XXX):?\s*"
+RUST_MODULE = r"(?m)^mod\s+(\w+)"
+RUST_USE = r"use\s+((?:crate|super)::[\w:]+)"
+PYTHON_RELATIVE = r"from\s+(\.[\w.]*)\s+import"
+GO_BLOCK = r"import\s*\(([\s\S]*?)\)"
+GO_QUOTED = '"([^"]+)"'
+GO_SINGLE = r'import\s+"([^"]+)"'
+SCRIPT_IMPORT = r"import\s+(?:type\s+)?(?:\{[^}]+\}|\*\s+as\s+\w+|\w+(?:\s*,\s*\{[^}]+\})?)\s+from\s+['\"]([^'\"]+)['\"]"
+SCRIPT_REQUIRE = r"require\(\s*['\"]([^'\"]+)['\"]\s*\)"
+MISE_HEADER = r"(?m)^\s*\[tasks\.([^\]]*)\]"
+JUST_RECIPE = r"(?m)^@?([a-zA-Z_][\w-]*)[^:\n]*:(?!=)"
+MAKE_TARGET = r"(?m)^([a-zA-Z0-9_][a-zA-Z0-9_.\-]*)[ \t]*:(?!=)"
+GRADLE_TASK = r"(?m)^[ \t]*([a-zA-Z][\w-]*)(?:[ \t]*$|[ \t]+-[ \t]+.*$)"
 
 
 def language_stats(files: DataFrame, lang: str = "lang", code: str = "code", comments: str = "comments") -> DataFrame:
@@ -54,7 +68,7 @@ def todos(files: DataFrame, id_col: str = "path", text_col: str = "text", most:
     """Lines with a TODO mark in a comment: id, line, text (from the mark on, without it)."""
     lines = files.where(F.col(text_col).rlike(TODO)).select(F.col(id_col), F.posexplode(effective_lines(F.col(text_col))).alias("_at", "_line"))
     found = lines.where(F.col("_line").rlike(TODO))
-    text = F.regexp_replace(F.trim("_line"), r"(?i)^(?://|#|<!--|/\*)\s*(?:TODO|FIXME|HACK|XXX):?\s*", "")
+    text = F.regexp_replace(F.trim("_line"), TODO_START, "")
     out = found.select(id_col, (F.col("_at") + 1).cast("long").alias("line"), text.alias("text"))
     return out if most is None else out.orderBy(id_col, "line").limit(most)
 
@@ -73,16 +87,12 @@ def import_targets(text: Column, lang: Column) -> Column:
     """Imports by regular expressions, one language's patterns per file: modules and
     crate paths (rust), relative modules (python), all paths (go), relative ones (others)."""
     every = lambda p, g=1, t=text: F.regexp_extract_all(t, F.lit(p), F.lit(g))
-    rust = F.concat(every(r"(?m)^mod\s+(\w+)"), F.transform(every(r"use\s+((?:crate|super)::[\w:]+)"), lambda x: F.regexp_replace(x, ":+$", "")))
-    block = F.regexp_extract(text, r"import\s*\(([\s\S]*?)\)", 1)
-    go = F.concat(every('"([^"]+)"', 1, block), every(r'import\s+"([^"]+)"'))
+    rust = F.concat(every(RUST_MODULE), F.transform(every(RUST_USE), lambda x: F.regexp_replace(x, ":+$", "")))
+    go = F.concat(every(GO_QUOTED, 1, F.regexp_extract(text, GO_BLOCK, 1)), every(GO_SINGLE))
     code = F.regexp_replace(text, r"(?m)^\s*//.*$", "")
-    js = F.concat(
-        every(r"import\s+(?:type\s+)?(?:\{[^}]+\}|\*\s+as\s+\w+|\w+(?:\s*,\s*\{[^}]+\})?)\s+from\s+['\"]([^'\"]+)['\"]", 1, code),
-        every(r"require\(\s*['\"]([^'\"]+)['\"]\s*\)", 1, code),
-    )
+    js = F.concat(every(SCRIPT_IMPORT, 1, code), every(SCRIPT_REQUIRE, 1, code))
     chosen = (
-        F.when(lang == "rust", rust).when(lang == "python", every(r"from\s+(\.[\w.]*)\s+import")).when(lang == "go", go)
+        F.when(lang == "rust", rust).when(lang == "python", every(PYTHON_RELATIVE)).when(lang == "go", go)
         .otherwise(F.filter(js, lambda x: F.startswith(x, F.lit("."))))
     )
     return F.array_distinct(chosen)
@@ -100,7 +110,7 @@ def symbol_map(definitions: DataFrame, most: int = 400) -> DataFrame:
 
 
 def mise_tasks(text: Column) -> Column:
-    header = F.regexp_extract_all(text, F.lit(r"(?m)^\s*\[tasks\.([^\]]*)\]"), F.lit(1))
+    header = F.regexp_extract_all(text, F.lit(MISE_HEADER), F.lit(1))
     name = lambda h: F.coalesce(
         F.nullif(F.regexp_extract(F.trim(h), "^[\"']([^\"']*)[\"']?", 1), F.lit("")), F.nullif(F.regexp_extract(F.trim(h), "^([^.\\s\"']+)", 1), F.lit("")),
     )
@@ -108,15 +118,15 @@ def mise_tasks(text: Column) -> Column:
 
 
 def just_tasks(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?m)^@?([a-zA-Z_][\w-]*)[^:\n]*:(?!=)"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(JUST_RECIPE), F.lit(1))))
 
 
 def make_tasks(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?m)^([a-zA-Z0-9_][a-zA-Z0-9_.\-]*)[ \t]*:(?!=)"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(MAKE_TARGET), F.lit(1))))
 
 
 def gradle_tasks(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*([a-zA-Z][\w-]*)(?:[ \t]*$|[ \t]+-[ \t]+.*$)"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(GRADLE_TASK), F.lit(1))))
 
 
 def npm_tasks(text: Column) -> Column:

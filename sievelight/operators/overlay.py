@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The order of project types and of task runners, ranks of severities.
 PROJECT_ORDER = ("rust", "go", "python", "typescript", "javascript", "java")
 RUNNERS = ("mise", "just", "make", "deno", "npm", "gradle")
 SEVERITIES = {"error": 0, "critical": 0, "high": 1, "warning": 1, "moderate": 2, "info": 2, "low": 3}

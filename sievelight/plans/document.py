@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from sievelight.functions.text import braced
 from sievelight.operators import context
 
-#: Files whose head a description quotes, compiler options and linter words that state rules.
+#: Files whose head a description quotes, and the compiler options and linter
+#: words that state rules.
 METADATA = ("package.json", "tsconfig.json", "Cargo.toml", "pyproject.toml", "go.mod", "build.gradle", "build.gradle.kts")
 METADATA_LINES = 60
 OPTIONS = {
