@@ -231,6 +231,19 @@ c AS (SELECT doc_id, list_cosine_similarity(v.v, q.v) AS score FROM v, q WHERE l
 b AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS r FROM (SELECT * FROM c WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50)),
 f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.r AS r1, b.r AS r2, coalesce(1.0 / (61 + a.r), 0) + coalesce(1.0 / (61 + b.r), 0) AS fused FROM a FULL JOIN b ON a.doc_id = b.doc_id)
 SELECT doc_id, r1, r2, round(fused, 9) AS fused, row_number() OVER (ORDER BY f.fused DESC, coalesce(r1, (SELECT count(*) FROM a) + r2)) - 1 AS place FROM f ORDER BY place LIMIT 10""",
+    "eval_scores": """
+WITH RECURSIVE e AS (SELECT * FROM events WHERE user_id % 10 = 0),
+h AS (SELECT user_id, event_type AS path, event_id % 40 AS s, event_id % 40 + 9 AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, event_type) AS k FROM e QUALIFY k <= 10),
+w AS (SELECT user_id, event_type AS path, event_id % 40 AS l, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC, event_type DESC) AS i FROM e QUALIFY i <= 3),
+x AS (SELECT user_id, list({'i': i, 'path': path, 'lo': CASE WHEN i > 1 THEN l END, 'hi': CASE WHEN i > 1 THEN l + 9 END} ORDER BY i) AS x FROM w GROUP BY user_id),
+r AS (SELECT user_id, x, 0::BIGINT AS k, []::BIGINT[] AS used, []::BIGINT[] AS g FROM x UNION ALL
+ SELECT user_id, x, k, CASE WHEN f IS NULL THEN used ELSE list_append(used, f) END, list_append(g, coalesce(f, 0)) FROM (
+  SELECT r.user_id, r.x, h.k, r.used, r.g, list_filter(r.x, lambda q: NOT list_contains(r.used, q.i) AND q.path = h.path AND (q.lo IS NULL OR (h.s <= q.hi AND q.lo <= h.e)))[1].i AS f
+  FROM r JOIN h ON h.user_id = r.user_id AND h.k = r.k + 1)),
+z AS (SELECT *, len(x) AS n, len(list_filter(g, lambda v: v > 0)) AS m FROM r QUALIFY k = max(k) OVER (PARTITION BY user_id)),
+d AS (SELECT *, list_sum(list_transform(g, lambda v, i: (pow(2, v) - 1) / log2(i + 1))) AS dcg, list_sum(list_transform(range(1, n + 1), lambda v: (pow(2, n + 1 - v) - 1) / log2(v + 1))) AS ideal,
+ list_position(list_transform(g, lambda v: v > 0), true) AS p FROM z)
+SELECT user_id, m::BIGINT AS matched, n::BIGINT AS expected_n, round(m / n, 6) AS recall, round(CASE WHEN p > 0 THEN 1 / p ELSE 0 END, 6)::DOUBLE AS mrr, round(dcg / ideal, 6) AS ndcg FROM d""",
     "eval_single": r"""
 WITH p AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9]+')[1:6])) AS w FROM benchmark),
 d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9]+'))) AS w FROM documents),
