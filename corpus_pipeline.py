@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm.common import materialise, small, table
-from sievelight.llm.decontaminate import contamination, without_spans
+from sievelight.llm.decontaminate import contamination
 from sievelight.llm.exact_dedup import exact_dedup
 from sievelight.llm.language_id import fold
 from sievelight.llm.mixing import mix
@@ -44,7 +44,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the passages of the benchmark cut from their texts (n_chars
     follows); those with nothing else in them go."""
-    found = without_spans(contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=True))
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), cut=True)
     hit = F.size("spans") > 0
     left = found.where(~(hit & (F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")) == 0)))
     n_chars = F.when(hit, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")

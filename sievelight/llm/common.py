@@ -15,6 +15,7 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -89,8 +90,25 @@ def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str,
     return here.unionByName(rest)
 
 
+#: Rows of a scan's column batch, rows and bytes of an Arrow batch: texts are long, and
+#: these are what an executor's heap and buffers and a Python worker hold at a time.
+BOUNDS = {
+    "spark.sql.parquet.columnarReaderBatchSize": 512,
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 2000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20,
+    "spark.sql.execution.arrow.maxBytesPerOutputBatch": 8 << 20,
+}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Set the session's batch sizes for long texts."""
+    for name, most in BOUNDS.items():
+        spark.conf.set(name, str(most))
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a context."""
+    """Send this package to the executors' Python workers, once a context, and bound batches."""
+    bounded(spark)
     context = spark.sparkContext
     if getattr(context, "_sievelight_shipped", False):
         return

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelight.llm import bytesops
+from sievelight.llm.bytesops import frugal
 from sievelight.llm.common import ship, table, text_or_empty
 from sievelight.llm.fm_index import FMIndex
 
@@ -122,7 +123,8 @@ def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[new], np.concatenate([end[:-1][new[1:]], end[-1:]])
 
 
-def _scan(windows: Windows, keep_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(windows: Windows, keep_text: bool, cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words = np.zeros(batch.num_rows, np.int64)
@@ -145,8 +147,8 @@ def _scan(windows: Windows, keep_text: bool) -> Callable[[Iterator[pa.RecordBatc
             for rows, word, n, window, owners in found:
                 order = np.argsort(rows, kind="stable")
                 rows, word, window = rows[order], word[order], window[order]
-                cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])).tolist()
-                for a, b in zip(cut, [*cut[1:], len(rows)], strict=True):
+                begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])).tolist()
+                for a, b in zip(begins, [*begins[1:], len(rows)], strict=True):
                     r = int(rows[a])
                     ranges.setdefault(r, []).append((word[a:b], word[a:b] + n))
                     items.setdefault(r, set()).update(windows.ids[k] for w in np.unique(window[a:b]).tolist() for k in owners[w])
@@ -162,6 +164,8 @@ def _scan(windows: Windows, keep_text: bool) -> Callable[[Iterator[pa.RecordBatc
                 ]
                 old_items[r] = sorted({*old_items[r], *items[r]})
             out = {x: batch.column(x) for x in batch.schema.names if x != "text" or keep_text}
+            if cut and any(old_spans):
+                out["text"] = _cut(batch.column("text"), old_spans)
             out |= {"n_words": pa.array(n_words), "spans": pa.array(old_spans, pa.list_(SPAN)), "items": pa.array(old_items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_pydict(out)
 
@@ -189,19 +193,22 @@ def contamination(
     bench_text_col: str = "text",
     block_chars: int = BLOCK_CHARS,
     keep_text: bool = False,
+    cut: bool = False,
 ) -> DataFrame:
-    """docs without text_col (with it if keep_text), with n_words, spans and items.
+    """docs without text_col (with it if keep_text or cut), with n_words, spans and items.
 
     spans: the merged ranges of words and bytes that occurrences of benchmark
     windows cover (ten consecutive words of an item, all words of a shorter
     one). items: the sorted ids, as strings, of the items they belong to.
     Words are runs of letters, digits and non-ASCII characters, A-Z in lower
-    case. A null or empty text has no words, an item without words no window;
+    case. With cut, the spans' bytes are taken out of the texts; spans are places in
+    the texts as they were. A null or empty text has no words, an item without words no window;
     an item with a null id goes under the id ''. Repeated items count once,
     repeated rows of docs each give a row. Other columns of docs stay, but those
     named n_words, spans or items are replaced; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
+    keep_text = keep_text or cut
     items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), text_or_empty(F.col(bench_text_col)).alias("text"))
     blocks = [Windows(b) for b in _blocks(items.where("text != ''"), block_chars)] or [Windows([])]
     state = "array<struct<first_word: bigint, end_word: bigint, first_byte: bigint, end_byte: bigint>>"
@@ -216,27 +223,19 @@ def contamination(
     for k, windows in enumerate(blocks):
         last = k == len(blocks) - 1 and not keep_text
         schema = T.StructType([f for f in df.schema.fields if f.name != "text" or not last])
-        df = df.mapInArrow(_scan(windows, not last), schema)
+        df = df.mapInArrow(_scan(windows, not last, cut and k == len(blocks) - 1), schema)
     return df.withColumnRenamed("text", text_col) if keep_text else df
 
 
-def without_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the bytes of spans cut from their texts."""
-    ship(docs.sparkSession)
-    where = docs.schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column(text_col).to_pylist(), batch.column("spans").to_pylist()
-            for r, own in enumerate(spans):
-                if own:
-                    body = texts[r].encode()
-                    places = [0, *[s[x] for s in own for x in ("first_byte", "end_byte")], len(body)]
-                    texts[r] = b"".join(body[a:b] for a, b in zip(places[::2], places[1::2], strict=True)).decode()
-            out = {x: batch.column(x) for x in batch.schema.names} | {text_col: pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_pydict(out)
-
-    return docs.mapInArrow(cut, where)
+def _cut(texts: pa.Array, spans: list[list[dict]]) -> pa.Array:
+    """Texts without the bytes of their spans."""
+    out = texts.to_pylist()
+    for r, own in enumerate(spans):
+        if own:
+            body = out[r].encode()
+            places = [0, *[s[x] for s in own for x in ("first_byte", "end_byte")], len(body)]
+            out[r] = b"".join(body[a:b] for a, b in zip(places[::2], places[1::2], strict=True)).decode()
+    return pa.array(out, pa.string())
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

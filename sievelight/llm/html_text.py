@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelight.llm.bytesops import frugal
 from sievelight.llm.common import ship, table
 
 TOKEN = re.compile(
@@ -174,6 +175,7 @@ def main_text(source: str | None) -> str:
     return "\n".join(blocks)
 
 
+@frugal
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(x.as_py()) for x in batch.column("html")]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import bytesops
+from sievelight.llm.bytesops import frugal
 from sievelight.llm.common import ship, table
 
 #: Dimensions and letters: 0 is any gap between letters, 1 to 26 are a to z,
@@ -87,6 +88,7 @@ def _counts(code: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return some, np.bincount(row * len(some) + seen[code], minlength=n * len(some)).reshape(n, len(some)).astype(np.float32)
 
 
+@frugal
 def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's sum of text vectors by language."""
     total: dict[str, np.ndarray] = {}
@@ -123,6 +125,7 @@ def _compared(models: dict[str, np.ndarray]) -> Callable[[Iterator[pa.RecordBatc
     names = np.array([*models, "und"], object)
     unit = np.array([v / np.linalg.norm(v) for v in models.values()], np.float32).reshape(-1, DIM)
 
+    @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = np.full(batch.num_rows, len(names) - 1)

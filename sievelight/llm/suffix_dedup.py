@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelight.llm import bytesops
-from sievelight.llm.bytesops import mix64
+from sievelight.llm.bytesops import frugal, mix64
 from sievelight.llm.common import materialise, only, ship, table, text_or_empty
 from sievelight.llm.decontaminate import merged
 
@@ -69,6 +69,7 @@ def contexts(body: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield text[first], first + a - offsets[text[first]], stop - first, gram[place].view(np.int64), h.view(np.int64)
 
 
+@frugal
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rid = batch.column(0).to_numpy()
@@ -136,6 +137,7 @@ def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(again[keep], anchor[keep], h[keep], rid[keep], first[keep], length[keep])
 
 
+@frugal
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted contexts. Columns rid, text, wanted (anchor, first, length)."""
     for batch in batches:
@@ -263,6 +265,7 @@ def _matched(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         if split is not None:
             yield from _survivors(text, runs, size, start, np.flatnonzero(able & ~goes), where, rid, split)
 
+    @frugal
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []  # whole anchors
         done_size = 0
@@ -300,6 +303,7 @@ def _matched(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return match
 
 
+@frugal
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: n_bytes, spans, kept text's hash. Columns rid, text, marks (first, stop)."""
     for batch in batches:
@@ -386,6 +390,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
+@frugal
 def _sifted_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sifts the contexts, which come first; passes settled rows through."""
 

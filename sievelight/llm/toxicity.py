@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import bytesops
+from sievelight.llm.bytesops import frugal
 from sievelight.llm.common import materialise, ship, table
 from sievelight.llm.decontaminate import IS_GAP
 from sievelight.llm.language_id import fold
@@ -82,6 +83,7 @@ def _member(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == keys
 
 
+@frugal
 def _mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's counts of terms: texts, and toxic ones. Columns text, toxic."""
     for batch in batches:
@@ -92,14 +94,17 @@ def _mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind, has, a, b in terms_of(body, start, end):
                 keys.append(_keys(body, a, b, kind))
                 rows.append(row[has])
-            if sum(map(len, keys)) > 1 << 21 or lo + len(first) - 1 == batch.num_rows:
-                pair = np.unique(np.stack([np.concatenate(keys).view(np.int64), np.concatenate(rows)]), axis=1)
-                new = np.concatenate([[True], pair[0, 1:] != pair[0, :-1]]) if pair.shape[1] else np.zeros(0, bool)
-                cut = np.flatnonzero(new)
-                if len(cut):
-                    ones = np.add.reduceat(np.ones(pair.shape[1], np.int64), cut)
-                    bad = np.add.reduceat(toxic[pair[1]], cut)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[0, cut]), pa.array(ones), pa.array(bad)], ["term", "n", "n_toxic"])
+            if sum(map(len, keys)) > 1 << 18 or lo + len(first) - 1 == batch.num_rows:
+                key, of = np.concatenate(keys).view(np.int64), np.concatenate(rows)
+                order = np.lexsort((of, key))
+                key, of = key[order], of[order]
+                once = np.ones(len(key), bool)
+                once[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+                key, of = key[once], of[once]
+                if len(key):
+                    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    counts, bad = np.diff(np.append(cut, len(key))), np.add.reduceat(toxic[of], cut)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(counts), pa.array(bad)], ["term", "n", "n_toxic"])
                 keys, rows = [], []
 
 
@@ -143,6 +148,7 @@ class Features:
 
 
 def _shown(features: Features) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @frugal
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, n, row, k in features.of(batch.column(0)):
@@ -268,6 +274,7 @@ def fit(sample: DataFrame) -> ToxicityModel:
 
 
 def _scored(model: ToxicityModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model.terms)
         for batch in batches:

@@ -249,9 +249,10 @@ def test_decontamination(spark, docs, none):
     assert [(s.first_word, s.end_word) for s in found[1].spans] == [(40, 80)] and found[1]["items"] == ["1"]
     assert [(s.first_word, s.end_word) for s in found[2].spans] == [(40, 60), (61, 80)] and found[8]["items"] == ["2"] and found[9]["items"] == [""]
     assert found[4].n_words == 0 and not found[4].spans and found[1].score == 0.5
-    cut = {r.doc_id: r.text for r in decontaminate.without_spans(decontaminate.contamination(docs, bench, keep_text=True)).collect()}
+    cut = {r.doc_id: r.text for r in decontaminate.contamination(docs, bench, cut=True).collect()}
     assert cut[8] == "" and "word25" not in cut[1] and "word19" in cut[1] and cut[4] is None
     blocks = decontaminate.contamination(docs, bench, block_chars=20)
+    assert {r.doc_id: r.text for r in decontaminate.contamination(docs, bench, block_chars=20, cut=True).collect()} == cut
     assert sorted((r.doc_id or 0, len(r.spans), r.n_words) for r in blocks.collect()) == sorted((r.doc_id or 0, len(r.spans), r.n_words) for r in decontaminate.contamination(docs, bench).collect())
     assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.contamination(docs, bench.limit(0)).count() == len(ROWS)
 
