@@ -10,7 +10,7 @@ WINDOW_MARK = "…"
 
 def runs(text: Column) -> Column:
     """Maximal runs of ASCII letters and digits; every other character splits."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+"), "")
 
 
 def subwords(word: Column) -> Column:
@@ -21,6 +21,10 @@ def subwords(word: Column) -> Column:
     return F.split(word, " ")
 
 
+#: Where subwords() cuts; most words hold no such place and are left alone.
+_CUT = "[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]"
+
+
 def expand(text: Column) -> Column:
     """Of each run: itself, its lower case if that differs, its sub-words in lower case if several."""
     none = F.array().cast("array<string>")
@@ -30,15 +34,29 @@ def expand(text: Column) -> Column:
         return F.concat(
             F.array(word),
             F.when(F.lower(word) != word, F.array(F.lower(word))).otherwise(none),
-            F.when(F.size(parts) > 1, F.transform(parts, F.lower)).otherwise(none),
+            F.when(word.rlike(_CUT), F.transform(parts, F.lower)).otherwise(none),
         )
 
     return F.flatten(F.transform(runs(text), of))
 
 
+def made_once(value: Column) -> Column:
+    """value as a generated column: what refers to it reads it, and no filter or projection
+    below makes it again. To be selected as it is; every row stays."""
+    return F.explode(F.array(value))
+
+
 def index_tokens(text: Column) -> Column:
-    """The tokens an index holds, in lower case; a mixed-case word counts twice."""
-    return F.transform(expand(text), F.lower)
+    """The tokens an index holds, in lower case; a mixed-case word counts twice.
+
+    Only texts with a word that is cut need expand(); in all others every word with a
+    capital is doubled in the text, which is then split as a whole. (Two characters
+    outside ASCII turn into letters of it in lower case; texts with them are expanded.)
+    """
+    text = F.coalesce(text, F.lit(""))
+    doubled = F.regexp_replace(text, "(?<![A-Za-z0-9])([a-z0-9]*+[A-Z][A-Za-z0-9]*+)", "$1 $1")
+    whole = F.array_remove(F.split(F.lower(doubled), "[^a-z0-9]+"), "")
+    return F.when(text.rlike(_CUT + "|[\u212A\u0130]"), F.transform(expand(text), F.lower)).otherwise(whole)
 
 
 def query_terms(query: Column) -> Column:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.functions.text import index_tokens
+from sievelight.functions.text import index_tokens, made_once
 
 K1, B = 1.2, 0.75
 
@@ -77,7 +77,7 @@ def search(docs: DataFrame, query: str | Query, id_col: str, text_col: str, limi
     words = q.scored
     if not words or limit <= 0:
         return docs.select(F.col(id_col), *keep, F.lit(0.0).alias("score")).limit(0)
-    tokens = docs.select(F.col(id_col), *([text_col] if where is not None else []), *keep, *_columns(where, docs, {id_col, text_col, *keep}), index_tokens(F.col(text_col)).alias("_tokens"))
+    tokens = docs.select(F.col(id_col), *([text_col] if where is not None else []), *keep, *_columns(where, docs, {id_col, text_col, *keep}), made_once(index_tokens(F.col(text_col))).alias("_tokens"))
     tf = [_occurrences("_tokens", w).alias(f"_tf{k}") for k, w in enumerate(words)]
     counted = tokens.select("*", F.size("_tokens").alias("_dl"), *tf)
     stats = counted.agg(
@@ -99,7 +99,7 @@ def search(docs: DataFrame, query: str | Query, id_col: str, text_col: str, limi
 
 
 def _occurrences(tokens: str, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == word))
+    return F.size(tokens) - F.size(F.array_remove(tokens, word))
 
 
 def _columns(where: Column | None, docs: DataFrame, have: set[str]) -> list[str]:

@@ -100,8 +100,8 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "documents").select("doc_id", "text")
     lexical = fusion.ranked(_rounded(bm25.search(docs, QUERY, "doc_id", "text", 50)), "score", "doc_id")
-    vectors = docs.select("doc_id", hashed_vector(F.col("text")).alias("v"))
-    query = spark.range(1).select(hashed_vector(F.lit(QUERY)).alias("qvec"))
+    vectors = docs.select("doc_id", text.made_once(hashed_vector(F.col("text"))).alias("v"))
+    query = spark.range(1).select(text.made_once(hashed_vector(F.lit(QUERY))).alias("qvec"))
     dense = fusion.ranked(fusion.dense_topk(vectors, query, "doc_id", "v", 50).withColumn("score", F.round("score", 9)), "score", "doc_id")
     return fusion.fuse(lexical, dense, ["doc_id"]).withColumn("fused", F.round("fused", 9)).orderBy("place").limit(10)
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.functions.text import local_url, runs
+from sievelight.functions.text import local_url, made_once, runs
 from sievelight.operators import bm25, fusion
 from sievelight.operators.chunking import chunk_files, chunk_id, chunk_tokens
 
@@ -45,9 +45,9 @@ class Settings:
 
 def hashed_vector(text: Column, dim: int = DIM) -> Column:
     """A bag of words hashed to dim counts: a deterministic stand-in for an embedding model."""
-    words = F.transform(runs(text), F.lower)
-    buckets = F.transform(words, lambda w: F.pmod(F.ascii(w) * 7 + F.char_length(w) * 31 + F.ascii(F.right(w, F.lit(1))) * 3, F.lit(dim)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
+    buckets = F.transform(runs(F.lower(text)), lambda w: F.pmod(F.ascii(w) * 7 + F.char_length(w) * 31 + F.ascii(F.right(w, F.lit(1))) * 3, F.lit(dim)))
+    # One array, counted dim times by native scans; the outer array holds it once.
+    return F.transform(F.array(buckets), lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (F.size(own) - F.size(F.array_remove(own, b))).cast("double")))[0]
 
 
 def overlap_score(text: Column, query: str) -> Column:
@@ -160,7 +160,7 @@ class Index:
         where = self._where(lang, path)
         rows = self.chunks if where is None else self.chunks.where(where)
         if self.vectors is None:
-            rows, q = rows.withColumn("_v", hashed_vector(F.col("text"))), spark.range(1).select(hashed_vector(F.lit(query)).alias("qvec"))
+            rows, q = rows.select("*", made_once(hashed_vector(F.col("text"))).alias("_v")), spark.range(1).select(made_once(hashed_vector(F.lit(query))).alias("qvec"))
         else:
             rows, q = rows.join(self.vectors.withColumnRenamed("vector", "_v"), "chunk"), embedded(spark.createDataFrame([(query,)], "text string"), "text", HttpEmbedder(self.settings), "qvec")
         return fusion.dense_topk(rows, q, "chunk", "_v", limit)
