@@ -45,8 +45,8 @@ TEMPLATES = (
     ("reserved", "all rights reserved"),
 )
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same for text whose A-Z aren't in lower case yet, and a gap between words.
-ANY_WORD, GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: What stands between words, whether A-Z are in lower case or not.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,7 +55,7 @@ def template_words(text: str) -> list[str]:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), GAP + "+"), "")
 
 
 def needed(n: int, threshold: float) -> int:
@@ -71,11 +71,19 @@ def _alternatives(words: list[str]) -> str:
     return rf"(?i)(?:^|{GAP})(?:{'|'.join(map(re.escape, words))})(?:{GAP}|$)"
 
 
+def _may_hold(text: Column, *words: str) -> Column:
+    """False only for texts that hold none of the words (lower case, letters that no other
+    character becomes in lower case but K by the Kelvin sign): a byte search before a pattern."""
+    lowered = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words])
+
+
 def word_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[str, int]:
     """How often each word of the vocabulary stands in the whole corpus."""
     spark = docs.sparkSession
     known = spark.createDataFrame([(w,) for w in vocabulary], "word string")
-    words = docs.select(F.explode(words_of(text_or_empty(F.col(text_col)))).alias("word"))
+    # They only order words, so that plain lower case will do.
+    words = docs.select(F.explode(F.split(F.lower(text_or_empty(F.col(text_col))), GAP + "+")).alias("word"))
     counts = words.join(F.broadcast(known), "word").groupBy("word").count()
     found = {r["word"]: r["count"] for r in counts.collect()}  # one row a word of the templates at most
     return {w: found.get(w, 0) for w in vocabulary}
@@ -102,9 +110,10 @@ def similarity_join(
     index = spark.createDataFrame(postings, "word string, template int, label string, t_size int, t_place int, needed int, t_words array<string>")
     by_rank = _array(sorted(rank, key=rank.__getitem__))
 
-    seen = _alternatives(sorted({p[0] for p in postings}))
+    wanted = sorted({p[0] for p in postings})
+    seen = _alternatives(wanted)
     text = text_or_empty(F.col(text_col))
-    blocks = docs.where(text.rlike(seen)).withColumn("block", F.explode(F.split(text, "\n"))).where(F.col("block").rlike(seen))
+    blocks = docs.where(_may_hold(text, *wanted) & text.rlike(seen)).withColumn("block", F.explode(F.split(text, "\n"))).where(F.col("block").rlike(seen))
     # The block's template words in global order, and the number of its words.
     blocks = blocks.withColumn("b_all", F.array_distinct(words_of(F.col("block"))))
     blocks = blocks.withColumn("b_words", F.array_intersect(by_rank, F.col("b_all"))).withColumn("b_size", F.size("b_all"))
@@ -119,6 +128,11 @@ def similarity_join(
     return kept.withColumn("containment", F.col("common") / F.col("t_size")).drop("b_all", "b_words", "b_size", "b_place", "word", "t_words", "t_place", "t_size", "needed", "common")
 
 
+def n_words(text: Column) -> Column:
+    """How many words a text has: the pieces between gaps, without the empty ones at the ends."""
+    return F.size(F.array_remove(F.split(text, GAP + "+"), "")).cast("long")
+
+
 def base_scan(text: Column) -> dict[str, Column]:
     """Of a text: n_words, base (the places and labels where a phrase's words stand)."""
     gap = GAP + "+"
@@ -136,10 +150,11 @@ def base_scan(text: Column) -> dict[str, Column]:
         return F.filter(F.transform(F.sequence(F.lit(0), F.size(w) - 1), at), lambda x: F.size(x["labels"]) > 0)
 
     none = F.array().cast("array<struct<place: bigint, labels: array<string>>>")
+    longest = [max(p.split(), key=len) for p in PHRASES]
     # The alternatives hold two words at least, so a text that has one isn't empty.
     return {
-        "n_words": F.regexp_count(text, F.lit(ANY_WORD)).cast("long"),
-        "base": F.when(text.rlike(held), F.transform(F.array(words), places)[0]).otherwise(none),
+        "n_words": n_words(text),
+        "base": F.when(_may_hold(text, *longest) & text.rlike(held), F.transform(F.array(words), places)[0]).otherwise(none),
     }
 
 
