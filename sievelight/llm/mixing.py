@@ -85,7 +85,7 @@ def mix_plan(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("skey"),
-        F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("long").alias("size"),
+        F.size(F.array_remove(F.split(text, f"[{SPACE}]+"), "")).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("place"),
     )
     sized = materialise(sized, "sized")
