@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from sievelight.llm.common import materialise
 
 
+#: Edges that one file (and one task that writes it) holds.
+FILE_EDGES = 200_000
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.select(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
     return int(row[0]), int(row[1])
@@ -28,18 +32,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = edges.where("u is not null and v is not null and u != v")
     e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     now = _state(e)
+    # Few edges make few files: the rows only get fewer from round to round.
+    files = 1 + now[0] // FILE_EDGES
     while now[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
             _stars(both).where("v > u")
             .select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
         )
-        large = materialise(large, "large")
+        large = materialise(large.coalesce(files), "large")
         small = _stars(large)
         small = small.where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(
             small.select("u", F.col("least").alias("v"))
         ).distinct()
-        e = materialise(small, "edges")
+        e = materialise(small.coalesce(files), "edges")
         before, now = now, _state(e)
         if now == before:
             break
