@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import metrics, text
 from sievelight.operators import bm25, evaluation, fusion
-from sievelight.plans.tables import table
+from sievelight.plans.tables import spread, table
 
 QUERY = "the heat and"
 PHRASE = '"of the"'
 
 
 def tok_runs(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select(F.explode(text.runs(F.col("text"))).alias("token"))
+    words = spread(table(spark, d, "documents").select("text")).select(F.explode(text.runs(F.col("text"))).alias("token"))
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -25,7 +25,7 @@ def tok_subwords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def postings_stats(spark: SparkSession, d: str) -> DataFrame:
-    stats = bm25.term_statistics(table(spark, d, "documents"), "doc_id", "text")
+    stats = bm25.term_statistics(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return stats.orderBy(F.desc("cf"), "term").limit(100)
 
 
@@ -34,24 +34,24 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(bm25.search(table(spark, d, "documents").select("doc_id", "text"), QUERY, "doc_id", "text", 50))
+    return _rounded(bm25.search(spread(table(spark, d, "documents").select("doc_id", "text")), QUERY, "doc_id", "text", 50))
 
 
 def bm25_lang(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(bm25.search(table(spark, d, "documents"), QUERY, "doc_id", "text", 50, F.col("lang") == "en", ("lang",)))
+    return _rounded(bm25.search(spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source")), QUERY, "doc_id", "text", 50, F.col("lang") == "en", ("lang",)))
 
 
 def bm25_path(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(bm25.search(table(spark, d, "documents"), QUERY, "doc_id", "text", 50, F.contains("source", F.lit("src1")), ("source",)))
+    return _rounded(bm25.search(spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source")), QUERY, "doc_id", "text", 50, F.contains("source", F.lit("src1")), ("source",)))
 
 
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(bm25.search(table(spark, d, "documents").select("doc_id", "text"), PHRASE, "doc_id", "text", 50))
+    return _rounded(bm25.search(spread(table(spark, d, "documents").select("doc_id", "text")), PHRASE, "doc_id", "text", 50))
 
 
 def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
     """The same ranking from an inverted index."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     lengths = docs.select("doc_id", F.size(text.index_tokens(F.col("text"))).alias("dl"))
     return _rounded(bm25.search_postings(bm25.postings(docs, "doc_id", "text"), lengths, QUERY, "doc_id", 50))
 
@@ -98,7 +98,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """BM25 and hashed bag-of-words cosine over documents, fused; see plans.search for the API."""
     from sievelight.plans.search import hashed_vector
 
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     lexical = fusion.ranked(_rounded(bm25.search(docs, QUERY, "doc_id", "text", 50)), "score", "doc_id")
     vectors = docs.select("doc_id", text.made_once(hashed_vector(F.col("text"))).alias("v"))
     query = spark.range(1).select(text.made_once(hashed_vector(F.lit(QUERY))).alias("qvec"))
