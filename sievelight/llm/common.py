@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+def materialise(df: DataFrame, tag: str, free: bool = False, codec: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation.
@@ -42,7 +42,7 @@ def materialise(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievelight/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     jvm, jsc = spark._jvm, spark._jsc
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(place)

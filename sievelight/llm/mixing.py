@@ -60,7 +60,7 @@ def source_targets(sources: DataFrame, share: float, cap: float, weights: Sequen
     return s.select("skey", "source", "source_size", "weight", target.alias("target"))
 
 
-def mix_plan(
+def _plan(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -70,27 +70,21 @@ def mix_plan(
     weights: Sequence[float] = WEIGHTS,
     block_tokens: int = BLOCK_TOKENS,
     seed: int = 7,
-) -> tuple[DataFrame, DataFrame]:
-    """(placed documents, slots).
-
-    placed: one row per input row: id, source, skey, size (words), source_size,
-    target, start (its first word's place in the source's stream).
-    slots: slot (0.. in the mix), shard, skey, block, source; one row per block taken.
-
-    A null text has size 0, a null source is a source of its own that comes last.
-    Rows that repeat an id are separate documents. Same input, same mix.
-    """
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(placed documents, placed documents with their text, slots); see mix_plan."""
     text = text_or_empty(F.col(text_col))
-    sized = docs.select(
+    rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("skey"),
         F.size(F.array_remove(F.split(text, f"[{SPACE}]+"), "")).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("place"),
+        text.alias("text"),
     )
-    sized = materialise(sized, "sized")
+    sized = materialise(rows.drop("text"), "sized")
     buckets_n = max(1, sized.count() // BUCKET_DOCS)
-    sized = sized.withColumn("bucket", F.pmod("place", F.lit(buckets_n)))
+    bucket = F.pmod("place", F.lit(buckets_n))
+    sized = sized.withColumn("bucket", bucket)
 
     buckets = sized.groupBy("skey", "source", "bucket").agg(F.sum("size").alias("bsize"))
     sources = buckets.groupBy("skey", "source").agg(F.sum("bsize").alias("source_size"))
@@ -110,12 +104,16 @@ def mix_plan(
         .select("skey", "bucket", "boff")
         .join(targets.select("skey", "source_size", "target"), "skey")
     )
-    inside = Window.partitionBy("skey", "bucket").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        sized.withColumn("upto", F.sum("size").over(inside))
-        .join(offsets, ["skey", "bucket"])
-        .select("id", "source", "skey", "size", "source_size", "target", (F.col("boff") + F.col("upto") - F.col("size")).alias("start"))
-    )
+
+    def placed(rows: DataFrame, *more: str) -> DataFrame:
+        # Rows that tie but for their texts have one size: both calls give them the same starts.
+        order = ["place", "id", "size", *more]
+        inside = Window.partitionBy("skey", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return (
+            rows.withColumn("upto", F.sum("size").over(inside))
+            .join(offsets, ["skey", "bucket"])
+            .select("id", "source", "skey", "size", "source_size", "target", (F.col("boff") + F.col("upto") - F.col("size")).alias("start"), *more)
+        )
 
     # Few small rows that grow to many: their number of partitions is given, so that
     # they aren't put together by their size.
@@ -133,40 +131,68 @@ def mix_plan(
     slots = slots.select("skey", "source", deal.alias("slot"), take.alias("block")).withColumn(
         "shard", F.expr(f"slot div {SHARD_SLOTS}")
     )
-    return placed, slots
+    return placed(sized), placed(rows.where("size > 0").withColumn("bucket", bucket), "text"), slots
 
 
-def pieces(placed: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The part of each block that each document fills: block, piece (words)."""
-    size = F.lit(block_tokens)
-    cut = placed.where("size > 0").withColumn(
-        "block", F.explode(F.expr(f"sequence(start div {block_tokens}, (start + size - 1) div {block_tokens})"))
-    )
-    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * size)
-    return cut.withColumn("piece", end - F.greatest(F.col("start"), F.col("block") * size))
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", **options) -> tuple[DataFrame, DataFrame]:
+    """(placed documents, slots).
+
+    placed: one row per input row: id, source, skey, size (words), source_size,
+    target, start (its first word's place in the source's stream).
+    slots: slot (0.. in the mix), shard, skey, block, source; one row per block taken.
+
+    A null text has size 0, a null source is a source of its own that comes last.
+    Rows that repeat an id are separate documents. Same input, same mix.
+    """
+    placed, _, slots = _plan(docs, id_col, **options)
+    return placed, slots
 
 
-def mixed_documents(placed: DataFrame, slots: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pieces(texts: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Placed documents cut at the bounds of blocks: skey, block, id, start, n (words), text
+    (as it stands in the document, with the white space after its words)."""
+    size = F.lit(block_tokens)
+    # As many words before a text as its first block already has: then every block_tokens words are a piece.
+    pad = (F.col("start") % size).cast("int")
+    led = F.concat(F.repeat(F.lit("x "), pad), F.ltrim("text", F.lit(" \t\n\x0b\x0c\r")))
+    parts = F.regexp_extract_all(led, F.lit(f"(?:[^{SPACE}]++[{SPACE}]*+){{1,{block_tokens}}}+"), F.lit(0))
+    cut = texts.where("size > 0").select("skey", "id", "start", "size", pad.alias("pad"), F.posexplode(parts).alias("k", "part"))
+    block = F.expr(f"start div {block_tokens}") + F.col("k")
+    n = F.least(F.col("start") + F.col("size"), (block + 1) * size) - F.greatest(F.col("start"), block * size)
+    text = F.when(F.col("k") == 0, F.expr("substring(part, 2 * pad + 1)")).otherwise(F.col("part"))
+    return cut.select("skey", block.alias("block"), "id", "start", n.alias("n"), text.alias("text"))
+
+
+def packed_blocks(texts: DataFrame, slots: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The mix: one row per slot: shard, slot, skey, source, block, pieces (start, id, n, text;
+    in the order of the source's stream; together block_tokens words, fewer in its last block)."""
+    parts = pieces(texts, block_tokens)
+    blocks = parts.groupBy("skey", "block").agg(F.sort_array(F.collect_list(F.struct("start", "id", "n", "text"))).alias("pieces"))
+    return blocks.join(slots.hint("merge"), ["skey", "block"]).select("shard", "slot", "skey", "source", "block", "pieces")  # Spark takes slots for small
+
+
+def mixed_documents(placed: DataFrame, packed: DataFrame) -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken (words
-    that the mix takes of it, repeats counted)."""
-    placed = materialise(placed, "placed")
-    times = slots.groupBy("skey", "block").agg(F.count(F.lit(1)).alias("times"))
-    same = ["id", "source", "skey", "start", "size", "source_size", "target"]
-    taken = (
-        pieces(placed, block_tokens)
-        .join(times.hint("merge"), ["skey", "block"], "left")  # Spark takes it for small
-        .groupBy(*same)
-        .agg(F.sum(F.col("piece") * F.coalesce("times", F.lit(0))).alias("taken"))
-    )
+    that the packed rows hold of it, repeats counted)."""
+    words = packed.select("skey", F.explode("pieces").alias("piece")).select("skey", "piece.start", "piece.n")
+    taken = words.groupBy("skey", "start").agg(F.sum("n").alias("taken"))
+    # Documents with words have starts of their own.
+    held = placed.where("size > 0").join(taken.hint("merge"), ["skey", "start"], "left")
+    same = ["id", "source", "size", "source_size", "target"]
     none = placed.where("size = 0").select(*same, F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(none).select("id", "source", "size", "source_size", "target", "taken")
+    return held.select(*same, F.coalesce("taken", F.lit(0).cast("long")).alias("taken")).unionByName(none)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> tuple[DataFrame, DataFrame]:
+    """(placed documents, the mix as written): see mix_plan and packed_blocks."""
+    placed, texts, slots = _plan(docs, id_col, **options)
+    packed = packed_blocks(texts, slots, options.get("block_tokens", BLOCK_TOKENS))
+    return placed, materialise(packed, "mix", free=True, codec="zstd")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Per document what a mix to target weights takes of it; see mix_plan."""
-    block_tokens = options.get("block_tokens", BLOCK_TOKENS)
-    placed, slots = mix_plan(docs, id_col, **options)
-    return mixed_documents(placed, slots, block_tokens).withColumnRenamed("id", id_col)
+    """Per document what a mix to target weights takes of it, counted in the mix; see mixed."""
+    return mixed_documents(*mixed(docs, id_col, **options)).withColumnRenamed("id", id_col)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -430,6 +430,34 @@ def test_shards_are_mixed(spark, sf_dir):
     assert slots.groupBy("skey", "block").count().agg(F.max("count")).first()[0] <= 2
 
 
+@pytest.mark.parametrize("block_tokens", [128, 7])
+def test_mix_is_made(spark, docs, none, block_tokens):
+    """The packed rows hold the words of the sources' streams, and taken is what they hold."""
+    extra = spark.createDataFrame([(20 + k, "\n ".join(f"{k}w{i}" for i in range(k * 37)) + " ", "en", "d", 1, None, None, None) for k in range(9)], DOCS)
+    both = docs.unionByName(extra)
+    placed, packed = mixing.mixed(both, block_tokens=block_tokens)
+    stream, texts = defaultdict(dict), defaultdict(list)
+    for r in both.collect():
+        texts[r.doc_id].append(re.findall(r"[^ \t-\r]+", r.text or ""))
+    for r in placed.where("size > 0").collect():
+        stream[r.skey].update((r.start + i, w) for i, w in enumerate(texts[r.id][0]))
+    taken, seen = defaultdict(int), []
+    for r in packed.collect():
+        words = [(p.id, w) for p in r.pieces for w in re.findall(r"[^ \t-\r]+", p.text)]
+        lo = r.block * block_tokens
+        assert [w for _, w in words] == [stream[r.skey][k] for k in range(lo, min(lo + block_tokens, len(stream[r.skey])))]
+        assert sum(p.n for p in r.pieces) == len(words) and r.shard == r.slot // mixing.SHARD_SLOTS
+        seen.append(r.slot)
+        for i, _ in words:
+            taken[i] += 1
+    assert sorted(seen) == list(range(len(seen))) and seen
+    got = defaultdict(int)
+    for r in mixing.mix(both, block_tokens=block_tokens).collect():
+        got[r.doc_id] += r.taken
+    assert {k: v for k, v in got.items() if v} == dict(taken)
+    assert mixing.mixed(none)[1].count() == 0
+
+
 def test_registry(spark, sf_dir):
     import __spark_entry__ as entry
 
