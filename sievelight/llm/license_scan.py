@@ -1,6 +1,7 @@
 """License scan by an exact set-similarity join (native DataFrame functions only).
 
-Every line of a text is a block, every template a set of words. A template's
+Every line of a text, with the words that follow it in its paragraph, is a block (so that
+a notice may be wrapped), every template a set of words. A template's
 words are ordered by their frequency in the whole corpus, rarest first. A
 block that holds at least the threshold's share of a template's words holds one
 of the first few of them (prefix filter), has enough words itself (length
@@ -66,6 +67,13 @@ def _array(values: list) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _runs(text: Column, n: int) -> Column:
+    """Each line of a text with up to n words of the lines after it, as far as no line without a word lies between."""
+    here, word = GAP.replace(r"\x00-\x2F", r"\x00-\x09\x0B-\x2F"), GAP.replace("[", "[^", 1)
+    after = rf"(?:\n{here}*+{word}++(?:{here}*+(?:\n{here}*+)?+{word}++){{0,{max(0, n - 1)}}}+)?+"
+    return F.regexp_extract_all(text, F.lit(rf"(?=([^\n]*+{after}))[^\n]*+(?:\n|\z)"), F.lit(1))
+
+
 def _alternatives(words: list[str]) -> str:
     """Matches a text with one of the words, as a whole word in any case of A-Z."""
     return rf"(?i)(?:^|{GAP})(?:{'|'.join(map(re.escape, words))})(?:{GAP}|$)"
@@ -113,7 +121,8 @@ def similarity_join(
     wanted = sorted({p[0] for p in postings})
     seen = _alternatives(wanted)
     text = text_or_empty(F.col(text_col))
-    blocks = docs.where(_may_hold(text, *wanted) & text.rlike(seen)).withColumn("block", F.explode(F.split(text, "\n"))).where(F.col("block").rlike(seen))
+    longest = max(len(re.findall("[a-z0-9]+", t)) for _, t in templates)
+    blocks = docs.where(_may_hold(text, *wanted) & text.rlike(seen)).withColumn("block", F.explode(_runs(text, longest))).where(F.col("block").rlike(seen))
     # The block's template words in global order, and the number of its words.
     blocks = blocks.withColumn("b_all", F.array_distinct(words_of(F.col("block"))))
     blocks = blocks.withColumn("b_words", F.array_intersect(by_rank, F.col("b_all"))).withColumn("b_size", F.size("b_all"))

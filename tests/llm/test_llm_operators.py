@@ -293,6 +293,17 @@ def test_license_scan(spark, none):
     assert by[None][4] == "reserved" and license_scan.license_labels(none).count() == 0
 
 
+def test_wrapped_license(spark):
+    rows = [
+        (1, "x\n// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files"),
+        (2, " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided\n"),
+        (3, "To the extent possible\nunder law, the author has waived all\ncopyright and related rights to\nthis work."), (4, "\n".join("a b Released under the MIT license".split())),
+        (5, "released under\n\nthe mit license"), (6, "released under\n # \nthe mit license"), (7, "released under\n" + "word " * 40 + "\nthe mit license"), (8, "\n\n"),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("cc0", 1.0), 4: ("mit", 1.0), **dict.fromkeys((5, 6, 7, 8), ("", 0.0))}
+
+
 # chat formatting
 
 
