@@ -107,8 +107,16 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_scores(spark: SparkSession, d: str) -> DataFrame:
+    """What its SQL checks: the users whose id ends in 0; eval_scores_all has all of them."""
+    return _user_scores(table(spark, d, "events").where("user_id % 10 = 0"))
+
+
+def eval_scores_all(spark: SparkSession, d: str) -> DataFrame:
+    return _user_scores(table(spark, d, "events"))
+
+
+def _user_scores(e: DataFrame) -> DataFrame:
     """Users as queries: their first ten events by time are hits, their greatest values expected."""
-    e = table(spark, d, "events").where("user_id % 10 = 0")
     hits = F.slice(F.sort_array(F.collect_list(F.struct("ts", "event_id", F.col("event_type").alias("path")))), 1, 10)
     expected = F.slice(F.sort_array(F.collect_list(F.struct(F.col("value"), "event_id", F.col("event_type").alias("path"))), asc=False), 1, 3)
     g = e.groupBy("user_id").agg(hits.alias("h"), expected.alias("x"))
@@ -196,7 +204,7 @@ _LOW = "list_transform(regexp_extract_all({t}, '[A-Za-z0-9]+'), lambda w: lower(
 
 QUERIES = {f.__name__: f for f in (
     tok_runs, tok_subwords, postings_stats, bm25_topk, bm25_lang, bm25_path, bm25_phrase, bm25_postings, dense_topk, dense_label, rrf_fusion,
-    rerank_select, rerank_window, hybrid_search, eval_scores, eval_single, eval_by_mode, rank_metrics,
+    rerank_select, rerank_window, hybrid_search, eval_scores, eval_scores_all, eval_single, eval_by_mode, rank_metrics,
 )}
 _Q = QUERY.split()
 SQL = {
@@ -264,3 +272,4 @@ SELECT doc_id, round(CASE WHEN list_position(list_transform(g, lambda x: x > 0),
    list_sum(list_transform(g[1:3], lambda x, i: (pow(2, x) - 1) / log2(i + 1))) / list_sum(list_transform(list_reverse_sort(g)[1:3], lambda x, i: (pow(2, x) - 1) / log2(i + 1))) END, 6) AS ndcg3
 FROM n""",
 }
+SQL["eval_scores_all"] = SQL["eval_scores"].replace(" WHERE user_id % 10 = 0", "")
