@@ -25,7 +25,8 @@ from sievelight.llm.common import ship, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|head|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<title\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</title\s*>|(?=</head\b|<body\b)|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>(?:[^<]|<(?![a-z!?/]))+)"
@@ -43,6 +44,11 @@ FURNITURE = frozenset(
 FURNITURE_TAGS = frozenset("nav footer aside form dialog menu".split())
 CONTAINERS = frozenset("html body main article section div td table tbody tr ul ol dl blockquote figure header center details".split()) | FURNITURE_TAGS
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr figcaption address caption thead tfoot fieldset legend summary".split())
+#: Elements without main text whose tags and words don't count, and what an svg holds as a page of its own.
+SILENT = frozenset("head select button svg".split())
+NESTED = SILENT | {"foreignobject"}
+#: What a head holds besides raw elements and a title: anything else ends it.
+HEAD = frozenset("head base basefont bgsound link meta noframes".split())
 #: Elements that hold running text: reaching one ends a paragraph, not the region.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -65,19 +71,26 @@ class Page:
     def __init__(self, source: str) -> None:
         self.kinds: list[str] = []
         self.where: list[int] = []
-        self.parent, self.off = [-1], [False]
+        self.parent, self.off, self.silent = [-1], [False], [False]
         self.spans: list[tuple[int, str, str]] = []  # (container, what, text): what is 'text' or 'block'
         self.span_of: list[int] = []
         self.marks: list[int] = []
         names, top, links = ["#"], 0, 0
+        loose: set[int] = set()  # silent elements that are never closed: they end at the next block
         for m in TOKEN.finditer(source):
             if m["text"]:
+                if names[top] == "head" and m["text"].strip():
+                    top = self.parent[top]
                 self.spans.append((top, "text", m["text"]))
                 kind = "off" if self.off[top] else "link" if links else "word"
-                for _ in range(len(html.unescape(m["text"]).split())):
+                for _ in range(0 if self.silent[top] else len(html.unescape(m["text"]).split())):
                     self._add(kind, top)
             elif m["name"]:
                 name, closing = m["name"].lower(), bool(m["close"])
+                if names[top] == "head" and not closing and name not in HEAD:
+                    top = self.parent[top]
+                while top in loose and name in BLOCKS:
+                    top = self.parent[top]
                 if name == "a":
                     links = 0 if closing else 1
                 if name in BLOCKS:
@@ -85,7 +98,7 @@ class Page:
                     self.spans.append((top, "block", ""))
                 elif name in ("br", "td", "th", "img"):
                     self.spans.append((top, "text", " "))
-                if name in CONTAINERS:
+                if name in CONTAINERS or name in NESTED:
                     if closing:
                         k = top
                         while k > 0 and names[k] != name:
@@ -95,9 +108,12 @@ class Page:
                     elif not m["rest"].rstrip().endswith("/"):
                         names.append(name)
                         self.parent.append(top)
-                        self.off.append(self.off[top] or furniture(name, m["rest"]))
+                        self.off.append(self.off[top] or name in SILENT or furniture(name, m["rest"]))
+                        self.silent.append(self.silent[top] or name in SILENT)
                         top = len(names) - 1
-                if not closing or name in CONTAINERS:
+                        if name in SILENT and name != "head" and not _closed(source, m.end(), name):
+                            loose.add(top)
+                if (not closing or name in CONTAINERS) and name not in NESTED and not self.silent[top]:
                     self._add("<" + name, top)
             elif m[0] in ("<!--begin-->", "<!--end-->"):
                 self.marks.append(len(self.kinds))
@@ -114,6 +130,22 @@ class Page:
         return out
 
 
+def _closed(source: str, at: int, name: str) -> bool:
+    """Whether the next tag of that name closes it; an svg may hold others."""
+    tags = re.compile(rf"<(/?){name}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
+    depth = 1
+    for m in tags.finditer(source, at):
+        if m[1]:
+            depth -= 1
+        elif name != "svg":
+            return False
+        elif not m[0][:-1].rstrip().endswith("/"):
+            depth += 1
+        if not depth:
+            return True
+    return False
+
+
 def furniture(name: str, attributes: str) -> bool:
     if name in FURNITURE_TAGS:
         return True

@@ -338,6 +338,21 @@ def test_html():
         assert text(source) == "\n".join(x for x in want if x)
 
 
+def test_html_open_elements():
+    text, body = html_text.main_text, "<p>The real text of the page is here and goes on.</p><p>And it goes on for long.</p>"
+    want = text(body)
+    assert want.count("\n") == 1
+    for before in (
+        "<html><head><title>Some title of words</title><meta name=x><body>", "<head><link rel=x><script>x='<body>'</script><style>p{}</style>", "<head><title>Some title</head><body>",
+        "<head><title>T</title></head><body>", "<body><svg width=1 />", "<body><svg><svg><text>no words</text></svg><text>none here</text></svg>", "<body><svg><text>no words here",
+        "<body><select><option>Alpha<option>Beta", "<body><button>Press here", "<body><select><option>Alpha</select>", "<body><button><div>Press</div> here</button>", "<body><button>One<button>Two</button>",
+    ):
+        assert text(before + body) == want and (before[:6] != "<body>" or text(before + body + before[6:]) == want), before
+    assert text("<head>\n<meta charset=x>Plain words of a page that never opens its body.") == "Plain words of a page that never opens its body."
+    icon = "<svg>" + "<path d='1'/>" * 99 + "</svg>"
+    assert text(f"<p>One two three {icon} four <button>Click <i>me</i></button> five six.</p>") == "One two three four five six."
+
+
 def test_best_region_is_the_greatest():
     rng = np.random.default_rng(6)
     for _ in range(50):
