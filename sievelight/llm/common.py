@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words for most operators: ASCII white space.
@@ -51,6 +51,23 @@ def materialise(df: DataFrame, tag: str, free: bool = False, codec: str | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a slim table that the driver keeps instead of a file.
+FEW_ROWS = 1 << 14
+
+
+def few_rows(df: DataFrame, few: int | None = None) -> list[Row] | None:
+    """The rows of a slim table if they are few, else None; the driver gets few + 1 at most."""
+    few = FEW_ROWS if few is None else few
+    rows = df.limit(few + 1).collect()
+    return rows if len(rows) <= few else None
+
+
+def held(df: DataFrame, tag: str, few: int | None = None) -> DataFrame:
+    """A slim table whose lineage is cut: few rows are kept by the driver, more are written."""
+    rows = few_rows(df, few)
+    return materialise(df, tag) if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 #: Ids whose bits are broadcast at most, bits for each, and keys broadcast at most.
 FEW_IDS, ID_BITS, FEW_KEYS = 1 << 22, 8, 1 << 20
 
