@@ -34,8 +34,9 @@ M, BANDS, ROWS, BASE, RATE, TOP = 128, 32, 4, 1.02, 20.0, 1022
 #: Similarity in per cent; below MAYBE the estimate (deviation 0.04 at 0.75)
 #: isn't confirmed on full sets; below KIN two classes aren't of one family.
 PERCENT, SURE, MAYBE, KIN = 75, 0.8, 0.55, 0.3
-#: Classes of one block of a family.
-BLOCK = 256
+#: Shingles of a family's block, and what a class counts besides its own: a task holds
+#: two blocks (8 bytes a shingle) of at most BLOCK / CLASS classes, or a single larger class.
+BLOCK, CLASS = 1 << 17, 512
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _FACTOR = (_rng.integers(0, 2**31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -251,21 +252,21 @@ def _settle(cross: DataFrame, involved: DataFrame, parts: DataFrame, classes: Da
     kin = connected_components(cross.select(F.col("ca").alias("u"), F.col("cb").alias("v")))
     if kin.isEmpty():
         return kin.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    family = _labelled(involved, parts).join(kin.select(F.col("node").alias("component"), F.col("component").alias("family")), "component")
-    size = family.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = size.groupBy("family").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("all"))
-    family = materialise(family.join(largest.select("family", "all", F.col("most.component").alias("main")), "family"), "family")
-    blocks = F.ceil(F.col("all") / BLOCK).cast("long")
-    member = family.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("blocks", blocks)
+    weighed = _labelled(involved, parts).join(classes.select("id", (F.col("n") + CLASS).alias("weight")), "id")
+    family = weighed.join(kin.select(F.col("node").alias("component"), F.col("component").alias("family")), "component")
+    size = family.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("weight").alias("weight"))
+    largest = size.groupBy("family").agg(F.max(F.struct("size", "component", "weight")).alias("most"), F.sum("weight").alias("all"))
+    n_blocks = lambda w: F.ceil(w / BLOCK).cast("long")
+    cut = largest.select("family", F.col("most.component").alias("main"), n_blocks(F.col("all")).alias("blocks"), n_blocks(F.col("all") - F.col("most.weight")).alias("s_blocks"))
+    member = materialise(family.join(cut, "family"), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     stray = member.where("component != main")
     # A family's blocks and its strays' blocks meet pairwise; a stray's row goes to every block.
-    stray_blocks = stray.groupBy("family").agg(F.count(F.lit(1)).alias("s")).select("family", F.ceil(F.col("s") / BLOCK).cast("long").alias("s_blocks"))
-    rows = member.join(stray_blocks, "family").withColumn("s_block", F.explode(F.expr("sequence(0L, s_blocks - 1)"))).withColumn("stray", F.lit(False))
-    strays = stray.join(stray_blocks, "family").withColumn("s_block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("s_blocks")))
+    rows = member.withColumn("s_block", F.explode(F.expr("sequence(0L, s_blocks - 1)"))).withColumn("stray", F.lit(False))
+    strays = stray.withColumn("s_block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("s_blocks")))
     strays = strays.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("stray", F.lit(True))
     keep = ["id", "component", "family", "block", "s_block", "stray"]
-    known = only(classes.select("id", "regs"), family.select("id").distinct())
-    known = known.join(only(sets, family.select("id").distinct()), "id")
+    ids = member.select("id").distinct()
+    known = only(classes.select("id", "regs"), ids).join(only(sets, ids), "id")
     full = rows.select(*keep).unionByName(strays.select(*keep)).join(known, "id")
     found = full.groupBy("family", "block", "s_block").applyInArrow(_settled, T.StructType(_ids(id_type, "u", "v")))
     return materialise(found, "strays", free=True)

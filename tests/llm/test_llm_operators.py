@@ -77,11 +77,14 @@ def test_shingle_sets():
     assert [len(s) for s in sets] == [2, 1, 1, 0, 0, 6] and sets[1][0] in sets[0]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_components(spark, few):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (7, 7), (2, 5), (20, 9), (None, 3)] + [(100 + k, 101 + k) for k in range(30)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long"), few).collect()}
     assert {got[k] for k in (2, 3, 4, 5)} == {2} and {got[k] for k in (7, 8, 9, 20)} == {7} and {got[100 + k] for k in range(31)} == {100}
-    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "u long, v long"), few).count() == 0
+    words = spark.createDataFrame([("é", "z"), ("z", "b"), ("C", "d")], "u string, v string")
+    assert {r.node: r.component for r in connected_components(words, few).collect()} == {"é": "b", "z": "b", "b": "b", "C": "C", "d": "C"}
 
 
 def test_only(spark):
