@@ -1,36 +1,44 @@
 """Exact dedup by two-pass Bloom filtering (native DataFrame functions only).
 
-Pass 1 sets, for each row's hash, one bit in each of two bit ranges and keeps
-only the bits that at least two rows set. Pass 2 looks every row up in these
-bits: a row with an unset bit has a unique text and passes straight through;
-only the others shuffle by their digest.
+Pass 1: each task sets one bit a row in a sparse bit array for each hash range, once or
+again (two states a bit), and the tasks' arrays are merged range by range; the
+bits that were set again, by one task or by two, are the filter. Pass 2 looks
+every row up in it: a row whose bit was set once has a unique text and passes
+straight through; only the others shuffle by their digest.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import SPACE, attach, materialise, table, text_or_empty
+from sievelight.llm.common import SPACE, attach, materialise, small, table, text_or_empty
 
-#: Bits of one range for each row, and the most bits of a range. The words of
-#: repeated bits that are broadcast number 2 * 2**MAX_LOG_BITS / 64 at most
-#: (one million, 16 bytes each); with more rows the filter lets more unique
-#: rows shuffle, results stay the same.
-BITS_PER_ROW = 16
-MAX_LOG_BITS = 25
+#: Bits for each row, and the rows of a task that share a range on average. Ranges
+#: and bits grow with the rows: the filter takes unique rows for suspects at one rate
+#: (one in BITS_PER_ROW), whatever their number.
+BITS_PER_ROW, CELL_ROWS = 64, 32
 
 
-def repeated_bits(digests: DataFrame, log_bits: int) -> DataFrame:
-    """(word, bits): the 64-bit words of the positions that two rows or more set."""
-    return (
-        digests.select(F.explode(F.array("p0", "p1")).alias("p"))
-        .groupBy("p").count().where("count > 1")
-        .groupBy(F.shiftright("p", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    )
+def _again(bits: Column) -> Column:
+    """The bits that a sorted array has more than once, once each."""
+    twice = lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x)))
+    return F.transform(F.array(F.sort_array(bits)), twice)[0]
+
+
+def repeated_bits(rows: DataFrame, range_bits: int) -> DataFrame:
+    """(word, bits): the 64-bit words of the bits that two rows or more set; rows: range, bit.
+
+    A task's array holds each bit that it set as a number, and those that it set again
+    once more, so that a text with many copies takes two numbers of a task.
+    """
+    cells = rows.withColumn("task", F.spark_partition_id()).groupBy("range", "task").agg(F.collect_list("bit").alias("bits"))
+    cells = cells.select("range", F.concat(F.array_distinct("bits"), _again(F.col("bits"))).alias("bits"))
+    merged = cells.groupBy("range").agg(F.flatten(F.collect_list("bits")).alias("bits"))
+    again = merged.select("range", F.explode(_again(F.col("bits"))).alias("bit"))
+    again = again.select((F.col("range") * F.lit(range_bits) + F.col("bit")).alias("p"))
+    one = F.expr("shiftleft(1L, cast(p & 63 as int))")
+    return again.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,20 +62,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ),
         "digests",
     )
-    n = digests.count()
-    log_bits = min(MAX_LOG_BITS, max(10, math.ceil(math.log2(max(1, n) * BITS_PER_ROW))))
-    size = 1 << log_bits
-    placed = digests.withColumn("p0", F.pmod(F.xxhash64("digest"), F.lit(size))).withColumn(
-        "p1", F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(size)) + F.lit(size)
+    n, n_tasks = digests.select(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)), F.coalesce(F.max("task") + 1, F.lit(1))).first()
+    n_ranges = max(1, n // n_tasks // CELL_ROWS)
+    range_bits = -(-max(1, n) * BITS_PER_ROW // n_ranges)
+    placed = digests.withColumn("range", F.pmod(F.xxhash64("digest"), F.lit(n_ranges)).cast("long")).withColumn(
+        "bit", F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(range_bits)).cast("int")
     )
-    words = repeated_bits(placed, log_bits)
-    probed = placed
-    for k in ("p0", "p1"):
-        side = words.select(F.col("word").alias(f"w_{k}"), F.col("bits").alias(f"b_{k}"))
-        probed = probed.join(F.broadcast(side), F.shiftright(k, 6) == F.col(f"w_{k}"), "left")
-    hit = F.lit(True)
-    for k in ("p0", "p1"):
-        hit = hit & (F.coalesce(F.getbit(f"b_{k}", F.col(k).bitwiseAND(63).cast("int")), F.lit(0)) == 1)
+    words = materialise(repeated_bits(placed.select("range", "bit"), range_bits), "bits")
+    # The filter is broadcast if it is small; of a larger one rows meet their word by a
+    # shuffle of what digests holds, the texts stay where they are.
+    p = F.col("range") * F.lit(range_bits) + F.col("bit")
+    probed = placed.withColumn("p", p).withColumn("word", F.shiftright("p", 6)).join(small(words, words.count()), "word", "left")
+    hit = F.coalesce(F.getbit("bits", F.col("p").bitwiseAND(63).cast("int")), F.lit(0)) == 1
     probed = materialise(probed.select("id", "digest", "n_points", "row_hash", hit.alias("suspect")), "suspects")
 
     unique = probed.where("not suspect").select(
