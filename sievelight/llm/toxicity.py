@@ -1,12 +1,12 @@
 """Toxicity by weak supervision.
 
-Voters: lexicons (fixed insults, and terms that go with the annotation in a
-bounded sample of annotated texts: words and beginnings of words) and patterns
-(shouting, exclamation, address, many insults), and the annotation itself.
-A generative label model estimates each voter's rates of firing for either
-class by expectation maximisation and weakens voters that are correlated within
-the classes. A linear classifier is trained on its posterior labels and scores
-every text.
+Voters are lexicons (fixed insults, each a voter of its own, and terms that were mined
+from a bounded sample of annotated texts: words and beginnings of words) and
+patterns (shouting, exclamation, address, many insults). A generative label model
+estimates from the voters' agreements alone how often each fires for either
+class and on which other voter it depends; annotations enter it only by the share
+of toxic texts. A linear classifier is trained on its posterior labels and
+scores every text.
 """
 
 from __future__ import annotations
@@ -160,48 +160,98 @@ def _shown(features: Features) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return show
 
 
-def label_model(
-    votes: np.ndarray, anchor: np.ndarray, rounds: int = 40, trust: float = 0.5, expected: tuple[float, float] = (0.02, 0.9)
-) -> tuple[np.ndarray, dict]:
+def _dependence(votes: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Conditional mutual information, in nats, of each two voters given the class."""
+    n, total = len(votes), np.zeros((votes.shape[1],) * 2)
+    for w in mass:
+        both = (votes * w[:, None]).T @ votes
+        one, all_ = np.diag(both), w.sum()
+        cells = (both, one[:, None] - both, one[None, :] - both, all_ - one[:, None] - one[None, :] + both)
+        sides = [(a, b) for a in (one, all_ - one) for b in (one, all_ - one)]
+        for cell, (a, b) in zip((cells[0], cells[1], cells[2], cells[3]), sides, strict=True):
+            cell, alone = np.clip(cell, 1e-9, None), np.clip(a[:, None] * b[None, :], 1e-9, None)
+            total += cell / n * np.log(cell * max(all_, 1e-9) / alone)
+    return total
+
+
+def _parents(votes: np.ndarray, mass: np.ndarray, least: float) -> np.ndarray:
+    """For each voter the one it depends on, or -1: the heaviest forest of dependences above least."""
+    gain = _dependence(votes, mass)
+    m = len(gain)
+    parent, done = np.full(m, -1), np.zeros(m, bool)
+    best, of = np.full(m, -np.inf), np.full(m, -1)
+    for _ in range(m):
+        k = int(np.argmax(np.where(done, -np.inf, best)))
+        if not np.isfinite(best[k]) or done[k]:
+            k = int(np.flatnonzero(~done)[0])  # a new tree
+        else:
+            parent[k] = of[k]
+        done[k] = True
+        closer = ~done & (gain[k] > np.maximum(best, least))
+        best[closer], of[closer] = gain[k][closer], k
+    return parent
+
+
+def _balanced(log_odds: np.ndarray, share: float) -> np.ndarray:
+    """Probabilities of log_odds, shifted so that their mean is share."""
+    lo, hi = -40.0 - log_odds.max(), 40.0 - log_odds.min()
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        p = 1 / (1 + np.exp(-np.clip(log_odds + mid, -30, 30)))
+        lo, hi = (mid, hi) if p.mean() < share else (lo, mid)
+    return p
+
+
+def label_model(votes: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, dict]:
     """Posterior probabilities of class 1, and the model: prior, fire (the rate at
-    which each voter fires for class 0 and 1), weight (1 for a voter that is
-    independent of the others within the classes, less the more it is correlated).
-
-    votes: a row for each text, a column for each voter, 1 if it fires; a voter that
-    doesn't fire abstains (a lexicon says nothing of texts in other languages), but
-    for the last one, which always votes. anchor: a first guess of the classes,
-    whose mean is the prior. expected, with the weight of trust times all texts: how
-    often the last voter fires for class 0 and 1. Expectation maximisation; the weights
-    come from the voters' correlations within the classes of the first guess.
+    which each voter fires for class 0 and 1), parent (the voter it depends on, or -1)
+    and table[class, parent's vote, voter] (the rate of firing given both).
+
+    votes: a row for each text, a column for each voter, 1 if it fires; a voter that doesn't
+    fire abstains (a lexicon says nothing of texts in other languages). prior: the share of
+    class 1. No label of a text is seen: expectation maximisation starts from the texts on
+    which the rarest voters fire, and learns rates and dependences (a forest of voters)
+    from which voters fire together. A voter is assumed to fire for class 1 at
+    least as often as for class 0. The posteriors' mean is held at the share of class 1.
     """
     n, m = votes.shape
-    prior = np.clip(anchor.mean() if n else 0.5, 1e-3, 1 - 1e-3)
-    post = np.clip(anchor.astype(float), 0.05, 0.95)
-    # Correlations within the classes of the first guess: voters that fire together
-    # share one vote. The last voter keeps its own.
-    spread = sum((x - x.mean(0)).T @ (x - x.mean(0)) for x in (votes[anchor < 0.5], votes[anchor >= 0.5]) if len(x))
-    scale = np.sqrt(np.clip(np.diag(spread), 1e-9, None)) if n else np.ones(m)
-    weight = 1 / np.clip(np.clip(np.abs(spread / np.outer(scale, scale)) - 0.1, 0, None).sum(1) / 0.9, 1, None) if n else np.ones(m)
-    weight[-1] = 1
-    fire = np.zeros((2, m))
-    for _ in range(rounds):
+    prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
+    if not n or not m:
+        return np.full(n, prior), {"prior": prior, "fire": np.zeros((2, m)), "parent": np.full(m, -1), "table": np.zeros((2, 2, m))}
+    rate = np.clip(votes.mean(0), 1 / n, 1)
+    strength = votes @ -np.log(rate)
+    first = np.argsort(-strength, kind="stable")[: max(1, round(prior * n))]
+    post = np.full(n, 0.05)
+    post[first[strength[first] > 0]] = 0.9
+    parent, table, fire = np.full(m, -1), np.zeros((2, 2, m)), np.zeros((2, m))
+    for k in range(rounds):
         mass = np.stack([1 - post, post])
-        fire = (mass @ votes + 0.5) / (mass.sum(1)[:, None] + 1)
-        fire[:, -1] = (mass @ votes[:, -1] + trust * n * np.array(expected) * (1 - prior, prior)) / (mass.sum(1) + trust * n * np.array((1 - prior, prior)))
-        log_odds = np.log(prior / (1 - prior)) + votes @ (weight * np.log(fire[1] / fire[0]))
-        log_odds += (1 - votes[:, -1]) * weight[-1] * np.log((1 - fire[1, -1]) / (1 - fire[0, -1]))
-        new = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
-        done = np.abs(new - post).max(initial=0) < 1e-4
+        if k in (3, 8, 16):
+            parent = _parents(votes, mass, 0.5 * np.log(n) / n * 4)
+        fire = (mass @ votes + rate) / (mass.sum(1)[:, None] + 1)
+        fire[1] = np.maximum(fire[1], fire[0])
+        on = np.where(parent >= 0, votes[:, np.maximum(parent, 0)], 0.0)
+        for b, side in ((0, 1 - on), (1, on)):
+            for c in (0, 1):
+                seen = mass[c] @ side
+                table[c, b] = (mass[c] @ (side * votes) + 2 * fire[c]) / (seen + 2)
+            table[1, b] = np.maximum(table[1, b], table[0, b])
+        table = np.clip(table, 1e-6, 1 - 1e-6)
+        hit, miss = np.log(table[1] / table[0]), np.log((1 - table[1]) / (1 - table[0]))
+        said = (votes * np.where(on > 0, hit[1], hit[0])).sum(1)
+        new = _balanced(said + ((1 - votes) * np.where(on > 0, miss[1], miss[0])).sum(1), prior)
+        done = np.abs(new - post).max() < 1e-4 and k > 16
         post = new
         if done:
             break
-    return post, {"prior": prior, "fire": fire, "weight": weight}
+    return _balanced(said, prior), {"prior": prior, "fire": fire, "parent": parent, "table": table, "posterior": post}
 
 
 def linear_classifier(row: np.ndarray, col: np.ndarray, target: np.ndarray, size: int, rounds: int = 300, ridge: float = 0.3, rate: float = 0.05) -> np.ndarray:
     """Logistic regression on 0/1 features against probabilities; the bias comes last.
-    Gradient descent with adaptive steps (Adam) on the mean loss with a ridge penalty."""
+    Gradient descent with adaptive steps (Adam) on the mean loss with a ridge penalty, a stronger one for few texts."""
     n = len(target)
+    ridge += 60 / n
     w = np.zeros(size + 1)
     prior = np.clip(target.mean(), 1e-3, 1 - 1e-3)
     w[-1] = np.log(prior / (1 - prior))
@@ -254,32 +304,31 @@ def fit(sample: DataFrame) -> ToxicityModel:
         voters = np.array(good[:VOTERS], np.int64)
     features = Features(terms)
     shown = sample.select("text", "toxic").mapInArrow(_shown(features), "toxic int, shown array<int>").collect() if n else []
-    toxic = np.array([r["toxic"] for r in shown], float)
     row = np.repeat(np.arange(len(shown)), [len(r["shown"]) for r in shown])
     col = np.array([k for r in shown for k in r["shown"]], np.int64)
-    # Voters: mined terms, the patterns, and last the annotation.
+    # Voters: terms of the lexicons, fixed and mined, and the patterns.
     number = np.full(features.size, -1)
-    number[np.searchsorted(features.terms, np.sort(voters.view(np.uint64)))] = np.arange(len(voters))
-    number[len(terms) :] = np.arange(len(PATTERNS)) + len(voters)
-    votes = np.zeros((len(shown), len(voters) + len(PATTERNS) + 1))
+    lexicon = np.unique(np.concatenate([np.searchsorted(features.terms, np.sort(voters.view(np.uint64))), np.flatnonzero(_member(features.terms, features.insults))]))
+    number[lexicon] = np.arange(len(lexicon))
+    number[len(terms) :] = np.arange(len(PATTERNS)) + len(lexicon)
+    votes = np.zeros((len(shown), len(lexicon) + len(PATTERNS)))
     seen = number[col] >= 0
     votes[row[seen], number[col[seen]]] = 1
-    votes[:, -1] = toxic
     if n:
-        posterior, model = label_model(votes, toxic)
+        posterior, model = label_model(votes, n_toxic / n)
         weights = linear_classifier(row, col, posterior, features.size)
     else:
         model, weights = {}, np.array([0.0, 0.5, 3.0, 3.0, 0.0, -2.0])
     return ToxicityModel(terms, weights, model)
 
 
-def _scored(model: ToxicityModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scored(model: ToxicityModel, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model.terms)
         for batch in batches:
             total = np.full(batch.num_rows, model.weights[-1])
-            for lo, n, row, k in features.of(batch.column(batch.schema.get_field_index("text"))):
+            for lo, n, row, k in features.of(batch.column(batch.schema.get_field_index(text_col))):
                 total[lo : lo + n] += np.bincount(row, model.weights[k], n)
             p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
             out = {x: batch.column(x) for x in batch.schema.names} | {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))}
@@ -297,13 +346,9 @@ def scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Dat
     """
     ship(docs.sparkSession)
     df = docs.drop("score", "predicted")
-    renamed = text_col != "text"
-    if renamed:
-        df = df.drop("text").withColumnRenamed(text_col, "text")
-    df = df.withColumn("text", F.col("text").cast("string"))
+    df = df.withColumn(text_col, F.col(text_col).cast("string"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], "score double", "predicted int"])
-    out = df.mapInArrow(_scored(model), schema)
-    return out.withColumnRenamed("text", text_col) if renamed else out
+    return df.mapInArrow(_scored(model, text_col), schema)
 
 
 def learned(spark: SparkSession, sf_dir: str) -> ToxicityModel:

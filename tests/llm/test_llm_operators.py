@@ -411,14 +411,71 @@ def test_toxicity(spark, sf_dir, docs, none):
 
 
 def test_label_model():
+    """Rates, dependences and classes from votes alone."""
     rng = np.random.default_rng(0)
-    y = rng.random(3000) < 0.2
-    votes = np.stack([np.where(y, rng.random(3000) < hit, rng.random(3000) < miss) for hit, miss in ((0.6, 0.02), (0.5, 0.05), (0.4, 0.4))], 1).astype(float)
-    noisy = np.where(rng.random(3000) < 0.05, ~y, y).astype(float)
-    votes = np.column_stack([votes[:, 0], votes, noisy])  # the first voter twice
-    post, model = toxicity.label_model(votes, noisy)
-    assert ((post > 0.5) == y).mean() >= (noisy == y).mean() - 0.01 and model["weight"][0] < 0.6 and model["weight"][-1] == 1
-    assert model["fire"][1, 0] > 0.4 > 0.1 > model["fire"][0, 0]
+    y = rng.random(4000) < 0.2
+    rates = ((0.6, 0.02), (0.5, 0.05), (0.4, 0.4), (0.55, 0.03), (0.5, 0.04))
+    votes = np.stack([np.where(y, rng.random(4000) < hit, rng.random(4000) < miss) for hit, miss in rates], 1).astype(float)
+    votes = np.column_stack([np.where(rng.random(4000) < 0.03, 1 - votes[:, 0], votes[:, 0]), votes])  # the first voter nearly twice
+    post, model = toxicity.label_model(votes, 0.2)
+    assert ((post > 0.5) == y).mean() >= 0.93 and abs(post.mean() - 0.2) < 0.01
+    assert model["parent"][0] == 1 or model["parent"][1] == 0
+    assert all(abs(model["fire"][1, k + 1] - hit) < 0.15 and abs(model["fire"][0, k + 1] - miss) < 0.05 for k, (hit, miss) in enumerate(rates) if hit != miss)
+    child = 0 if model["parent"][0] == 1 else 1
+    log = np.log(model["table"][1] / model["table"][0])[:, child]
+    assert log[1] < 0.3 * np.log(model["fire"][1, child] / model["fire"][0, child])  # its copy has said it already
+    assert len(toxicity.label_model(np.zeros((0, 3)), 0.5)[0]) == 0
+
+
+def test_dependence_brute():
+    rng = np.random.default_rng(5)
+    votes, w = (rng.random((300, 4)) < 0.4).astype(float), rng.random(300)
+    votes[:, 3] = votes[:, 0]
+    mass = np.stack([1 - w, w])
+    got = toxicity._dependence(votes, mass)
+    for i in range(4):
+        for j in range(4):
+            if i != j:
+                want = 0.0
+                for c in mass:
+                    for a in (0, 1):
+                        for b in (0, 1):
+                            pab = (c * (votes[:, i] == a) * (votes[:, j] == b)).sum() / c.sum()
+                            pa, pb = ((c * (votes[:, k] == v)).sum() / c.sum() for k, v in ((i, a), (j, b)))
+                            if pab > 0:
+                                want += c.sum() / 300 * pab * np.log(pab / (pa * pb))
+                assert abs(got[i, j] - want) < 1e-6
+    assert toxicity._parents(votes, mass, 0.1).tolist().count(-1) == 3
+
+
+def test_scores_brute(spark, sf_dir, docs):
+    """Scores of whole texts against plain Python over words, beginnings and patterns."""
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.annotated_sample(table(spark, sf_dir), labels))
+    weight = {int(np.uint64(t)): w for t, w in zip(np.sort(model.terms.view(np.uint64)), model.weights, strict=False)}
+    pattern = dict(zip(toxicity.PATTERNS, model.weights[len(model.terms) :], strict=False))
+    plain = str.maketrans("0134578", "oieastb")
+
+    def key(w: str, kind: int) -> int:
+        body = np.frombuffer(w.encode(), np.uint8)
+        return int(toxicity._keys(body, np.array([0]), np.array([len(body)]), kind)[0])
+
+    def score(text):
+        text = text or ""
+        words = [w.translate(plain) for w in re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())]
+        keys = {key(w, 0) for w in words} | {key(w[:n], n) for w in words for n in toxicity.BEGINNINGS if n and len(w) > n}
+        insults = sum(w in {x.translate(plain) for x in toxicity.INSULTS} for w in words)
+        upper, lower = (len(re.findall(f"[{r}]", text)) for r in ("A-Z", "a-z"))
+        fired = {
+            "shouting": upper > lower and upper > 8, "exclaiming": text.count("!") * 10 > max(1, len(words)), "insult": insults > 0,
+            "insults": insults > 2 or insults * 50 > max(1, len(words)), "address": any(w in {x.translate(plain) for x in toxicity.ADDRESS} for w in words),
+        }
+        total = model.weights[-1] + sum(weight.get(k, 0.0) for k in keys) + sum(pattern[p] for p, f in fired.items() if f)
+        return 1 / (1 + np.exp(-total))
+
+    rows = table(spark, sf_dir).select("doc_id", F.col("text").alias("body"), F.lit("other").alias("text")).unionByName(docs.select(F.col("doc_id") + 10**6, F.col("text").alias("body"), F.lit("other").alias("text")).toDF("doc_id", "body", "text"))
+    got = toxicity.scores(rows, model, "body").collect()
+    assert got and all(abs(r.score - score(r.body)) < 1e-9 and r.text == "other" for r in got)
 
 
 # mixing
