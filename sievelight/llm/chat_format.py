@@ -88,12 +88,35 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(s["first"].cast("string"), F.lit("-"), s["stop"].cast("string"))), ",")
 
 
+def neighbour(conv: Column) -> Column:
+    """The other one of 2k and 2k + 1, for negative numbers too."""
+    return conv + 1 - 2 * F.pmod(conv, F.lit(2))
+
+
+def with_replies_of_neighbours(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, role, text) with the last reply of each conversation replaced by
+    its neighbour's; a conversation without a reply, or whose neighbour has none, stays as it is."""
+    last = turns.where(F.col("role") == TRAINED).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    lent = last.select(neighbour(F.col("conv_id")).alias("conv_id"), F.struct("last.text").alias("lent"))
+    both = turns.join(last.join(lent, "conv_id"), "conv_id", "left")
+    own = (F.col("role") == TRAINED) & F.col("turn").eqNullSafe(F.col("last.turn")) & F.col("lent").isNotNull()
+    return both.select("conv_id", "turn", "role", F.when(own, F.col("lent.text")).otherwise(F.col("text")).alias("text"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations in pairs of neighbours by id: of 2k and 2k + 1 the even one is chosen."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    pairs = preference_pairs(turns, F.expr("conv_id div 2"), F.col("conv_id") % 2 == 0)
+    """Two kinds of pairs of all conversations. reply: each conversation, and the same one
+    with its last reply from its neighbour. neighbours: of 2k and 2k + 1 the even one is chosen.
+    Rows without a conversation's id are in no pair."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").where("conv_id is not null")
+    conv = F.col("conv_id")
+    pair = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.cast("long").alias("id")).alias("pair")
+    whole = [F.lit(True).alias("good"), "conv_id", "turn", "role", "text"]
+    rows = turns.select(pair("neighbours", F.floor((conv - F.pmod(conv, F.lit(2))) / 2)), (F.pmod(conv, F.lit(2)) == 0).alias("good"), *whole[1:])
+    rows = rows.unionByName(turns.select(pair("reply", conv), *whole))
+    lent = with_replies_of_neighbours(turns).select(pair("reply", conv), F.lit(False).alias("good"), neighbour(conv).alias("conv_id"), "turn", "role", "text")
+    pairs = preference_pairs(rows.unionByName(lent), F.col("pair"), F.col("good"))
     return pairs.select(
-        "pair_id", "chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen", "rejected",
+        "pair_id.kind", F.col("pair_id.id").alias("pair_id"), "chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen", "rejected",
         spans_text(F.col("chosen_spans")).alias("chosen_mask"), spans_text(F.col("rejected_spans")).alias("rejected_mask"),
     )
 
@@ -110,13 +133,19 @@ def _sql() -> str:
 
     rendered_sql = lambda c: f"array_to_string(list_transform({c}, lambda t: {head} || {tail}), '')"
     return f"""
-WITH p AS (SELECT conv_id // 2 AS pair_id, min(conv_id) FILTER (conv_id % 2 = 0) AS chosen_id, min(conv_id) FILTER (conv_id % 2 = 1) AS rejected_id,
-  coalesce(list({{'role': role, 'text': text}} ORDER BY turn, role, text) FILTER (conv_id % 2 = 0), []) AS a,
-  coalesce(list({{'role': role, 'text': text}} ORDER BY turn, role, text) FILTER (conv_id % 2 = 1), []) AS b FROM conversations GROUP BY 1),
+WITH u AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM u WHERE role = 'assistant' GROUP BY 1),
+r AS (SELECT 'neighbours' AS kind, floor(conv_id / 2.0)::BIGINT AS pair_id, conv_id % 2 = 0 AS good, conv_id, turn, role, text FROM u
+  UNION ALL SELECT 'reply', conv_id, true, conv_id, turn, role, text FROM u
+  UNION ALL SELECT 'reply', u.conv_id, false, u.conv_id + 1 - 2 * (u.conv_id % 2), u.turn, role, CASE WHEN role = 'assistant' AND u.turn = l.turn AND n.turn IS NOT NULL THEN n.text ELSE u.text END
+    FROM u LEFT JOIN l ON l.conv_id = u.conv_id LEFT JOIN l n ON n.conv_id = u.conv_id + 1 - 2 * (u.conv_id % 2)),
+p AS (SELECT kind, pair_id, min(conv_id) FILTER (good) AS chosen_id, min(conv_id) FILTER (NOT good) AS rejected_id,
+  coalesce(list({{'role': role, 'text': text}} ORDER BY turn, role, text) FILTER (good), []) AS a,
+  coalesce(list({{'role': role, 'text': text}} ORDER BY turn, role, text) FILTER (NOT good), []) AS b FROM r GROUP BY 1, 2),
 q AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false), 0) AS u FROM p),
 n AS (SELECT *, CASE WHEN u = 0 THEN least(len(a), len(b)) ELSE u - 1 END AS n FROM q),
 c AS (SELECT *, a[1:n] AS pre, a[n + 1:] AS x, b[n + 1:] AS y FROM n)
-SELECT pair_id, chosen_id, rejected_id, n::BIGINT AS n_prompt_turns, {rendered_sql('pre')} AS prompt, {rendered_sql('x')} AS chosen, {rendered_sql('y')} AS rejected,
+SELECT kind, pair_id, chosen_id, rejected_id, n::BIGINT AS n_prompt_turns, {rendered_sql('pre')} AS prompt, {rendered_sql('x')} AS chosen, {rendered_sql('y')} AS rejected,
  {side('x')} AS chosen_mask, {side('y')} AS rejected_mask FROM c
 """
 

@@ -326,6 +326,23 @@ def test_chat_format(spark):
     assert chat_format.preference_pairs(df.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
 
 
+def test_chat_pairs_with_prefix(spark, sf_dir, tmp_path):
+    got = chat_format.op6_chat_format(spark, sf_dir).collect()
+    assert sum(r.n_prompt_turns > 0 for r in got) >= len(got) / 2
+    for r in got:
+        if r.kind == "reply" and r.rejected:
+            assert r.chosen.count("<|assistant|>") == r.rejected.count("<|assistant|>") >= 1 and r.prompt and r.chosen != r.rejected
+    turns = [(-1, 0, "user", "q"), (-1, 1, "assistant", "minus one"), (-2, 0, "user", "q"), (-2, 1, "assistant", "minus two"), (1, 0, "user", "p"), (1, 1, "assistant", "one"), (0, 0, "user", "p"), (0, 1, "assistant", None), (9, 0, "user", "alone"), (None, 0, "user", "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    by = {(r.kind, r.pair_id): r for r in chat_format.op6_chat_format(spark, str(tmp_path)).collect()}
+    r = by["neighbours", -1]
+    assert (r.chosen_id, r.rejected_id, r.n_prompt_turns) == (-2, -1, 1) and "minus two" in r.chosen and "minus one" in r.rejected
+    assert (by["neighbours", 0].chosen_id, by["neighbours", 0].rejected_id) == (0, 1) and by["neighbours", 4].rejected_id == 9
+    assert "minus one" in by["reply", -2].rejected and by["reply", 1].rejected == "<|assistant|>\n<|end|>\n" and by["reply", 9].n_prompt_turns == 1
+    assert len(by) == 8
+
+
 # HTML
 
 
