@@ -3,8 +3,8 @@
 Words score positive and tags negative; words in links and in page furniture
 (menus, footers, adverts, forms, comments ...) score negative too. The weights
 are log-odds of lying in the marked region of labelled pages. A linear scan
-finds the contiguous token region of greatest score; the element that encloses
-it is the article, of which the furniture is left out.
+finds the contiguous token region of greatest score: the blocks with a word in
+it are the main text, less the furniture that stands among them.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<title\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</title\s*>|(?=</head\b|<body\b)|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>(?:[^<]|<(?![a-z!?/]))+)"
     r"|<",
@@ -35,12 +35,16 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-#: Words of class, id or role that name furniture.
+#: Nouns of class, id or role that name furniture. A name's noun is its last part but for
+#: those of PLACES; names that begin with a word of OTHERS tell of what is beside an element.
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies"
     " discussion footer masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies reply search share sharing"
     " sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+PLACES = frozenset("area bar block bottom box center container group inner item items left link links list outer panel right row section slot top unit wrap wrapper".split())
+OTHERS = frozenset("with without has no not after before".split())
+ARTICLE = frozenset("article content entry main post story".split())
 FURNITURE_TAGS = frozenset("nav footer aside form dialog menu".split())
 CONTAINERS = frozenset("html body main article section div td table tbody tr ul ol dl blockquote figure header center details".split()) | FURNITURE_TAGS
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr figcaption address caption thead tfoot fieldset legend summary".split())
@@ -50,6 +54,12 @@ NESTED = SILENT | {"foreignobject"}
 #: What a head holds besides raw elements and a title: anything else ends it.
 HEAD = frozenset("head base basefont bgsound link meta noframes".split())
 #: Elements that hold running text: reaching one ends a paragraph, not the region.
+#: What an opening tag ends if it is open in the same table or list.
+ENDS = {
+    "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "tr": frozenset(("td", "th", "tr")), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")),
+    "tbody": frozenset(("td", "th", "tr", "tbody", "thead")), "tfoot": frozenset(("td", "th", "tr", "tbody", "thead")),
+}
+SCOPES = frozenset("table ul ol dl body html".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 #: Labelled pages: the main text lies between the marks. They show one layout each.
@@ -71,17 +81,18 @@ class Page:
     def __init__(self, source: str) -> None:
         self.kinds: list[str] = []
         self.where: list[int] = []
-        self.parent, self.off, self.silent = [-1], [False], [False]
+        self.parent, self.off, self.silent, self.article = [-1], [False], [False], [False]
         self.spans: list[tuple[int, str, str]] = []  # (container, what, text): what is 'text' or 'block'
         self.span_of: list[int] = []
         self.marks: list[int] = []
         names, top, links = ["#"], 0, 0
-        loose: set[int] = set()  # silent elements that are never closed: they end at the next block
+        loose: set[int] = set()  # elements that the next block ends: silent ones that are never closed, paragraphs and running text
         for m in TOKEN.finditer(source):
             if m["text"]:
                 if names[top] == "head" and m["text"].strip():
                     top = self.parent[top]
                 self.spans.append((top, "text", m["text"]))
+                self.span_of.append(len(self.kinds))
                 kind = "off" if self.off[top] else "link" if links else "word"
                 for _ in range(0 if self.silent[top] else len(html.unescape(m["text"]).split())):
                     self._add(kind, top)
@@ -91,27 +102,35 @@ class Page:
                     top = self.parent[top]
                 while top in loose and name in BLOCKS:
                     top = self.parent[top]
+                if name in ENDS and not closing:
+                    k = top
+                    while k > 0 and names[k] not in SCOPES:
+                        if names[k] in ENDS[name]:
+                            top = self.parent[k]
+                        k = self.parent[k]
                 if name == "a":
                     links = 0 if closing else 1
                 if name in BLOCKS:
                     links = 0
-                    self.spans.append((top, "block", ""))
+                    self._gap(top, "block")
                 elif name in ("br", "td", "th", "img"):
-                    self.spans.append((top, "text", " "))
-                if name in CONTAINERS or name in NESTED:
-                    if closing:
-                        k = top
-                        while k > 0 and names[k] != name:
-                            k = self.parent[k]
-                        if k > 0:
-                            top = self.parent[k]
-                    elif not m["rest"].rstrip().endswith("/"):
+                    self._gap(top, "text")
+                if closing:
+                    k = top
+                    while k > 0 and names[k] != name:
+                        k = self.parent[k]
+                    if k > 0:
+                        top = self.parent[k]
+                elif name not in VOID and not m["rest"].rstrip().endswith("/"):
+                    off = name in SILENT or furniture(name, m["rest"]) or (name == "header" and not self._in_article(names, top))
+                    if off or name in CONTAINERS or name in NESTED or names[top] == name:
                         names.append(name)
                         self.parent.append(top)
-                        self.off.append(self.off[top] or name in SILENT or furniture(name, m["rest"]))
+                        self.off.append(self.off[top] or off)
                         self.silent.append(self.silent[top] or name in SILENT)
+                        self.article.append(name in ("article", "main") or named(m["rest"], ARTICLE))
                         top = len(names) - 1
-                        if name in SILENT and name != "head" and not _closed(source, m.end(), name):
+                        if name in SILENT and name != "head" and not _closed(source, m.end(), name) or name not in BLOCKS and name not in NESTED or name == "p":
                             loose.add(top)
                 if (not closing or name in CONTAINERS) and name not in NESTED and not self.silent[top]:
                     self._add("<" + name, top)
@@ -123,11 +142,17 @@ class Page:
         self.kinds.append(kind)
         self.where.append(where)
 
-    def above(self, k: int) -> list[int]:
-        out = [k]
+    def _gap(self, where: int, what: str) -> None:
+        self.spans.append((where, what, " "))
+        self.span_of.append(len(self.kinds))
+
+    def _in_article(self, names: list[str], k: int) -> bool:
+        """Whether an element is in an article: its header is a part of it, another one a site's."""
         while k > 0:
-            out.append(k := self.parent[k])
-        return out
+            if self.article[k] or names[k] in ("section", "blockquote", "figure"):
+                return True
+            k = self.parent[k]
+        return False
 
 
 def _closed(source: str, at: int, name: str) -> bool:
@@ -146,13 +171,26 @@ def _closed(source: str, at: int, name: str) -> bool:
     return False
 
 
+def named(attributes: str, nouns: frozenset[str]) -> bool:
+    """Whether class, id or role has a name whose noun is one of nouns."""
+    for value in ATTRIBUTE.findall(attributes):
+        for name in value.strip("\"'").split():
+            parts = [x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x]
+            while len(parts) > 1 and parts[-1] in PLACES:
+                parts.pop()
+            if parts and parts[-1] in nouns and (len(parts) == 1 or parts[0] not in OTHERS):
+                return True
+    return False
+
+
 def furniture(name: str, attributes: str) -> bool:
     if name in FURNITURE_TAGS:
         return True
+    if not attributes:
+        return False
     if HIDDEN.search(attributes):
         return True
-    named = " ".join(x.strip("\"'").lower() for x in ATTRIBUTE.findall(attributes))
-    return name not in ("body", "html", "main", "article") and not FURNITURE.isdisjoint(re.split(r"[^a-z]+", named))
+    return name not in ("body", "html", "main", "article") and named(attributes, FURNITURE)
 
 
 @lru_cache(1)
@@ -182,36 +220,35 @@ def best_region(page: Page, weight: dict[str, float]) -> tuple[int, int] | None:
 
 
 def main_text(source: str | None) -> str:
-    """The blocks of the main text, joined by line feeds."""
+    """The blocks of the main text, joined by line feeds.
+
+    A "<" before a letter begins a tag, as in a browser: of "a<b then c>d" a and d are left.
+    A tag with a quote that nothing closes ends at the next ">".
+    """
     page = Page(source or "")
     region = best_region(page, weights())
     if not region:
         return ""
-    plain = [page.where[k] for k in range(*region) if page.kinds[k] == "word"]
-    first, last = page.above(plain[0]), set(page.above(plain[-1]))
-    root = next(k for k in first if k in last)
-    # Lists, tables and quotes are parts of an article, not articles.
-    while page.names[root] in ("ul", "ol", "dl", "blockquote", "figure", "table", "tbody", "tr", "header", "details") and page.parent[root] > 0:
-        root = page.parent[root]
-    inside = [False] * len(page.names)
-    for k in range(len(page.names)):
-        inside[k] = (k == root or (k > root and inside[page.parent[k]])) and (k == root or not page.off[k])
-    blocks, own = [], []
-    for where, what, text in [*page.spans, (0, "block", "")]:
+    first, stop = region
+    blocks, own, inside = [], [], False
+    ends = [*page.span_of[1:], len(page.kinds)]
+    for (where, what, text), begin, end in zip([*page.spans, (0, "block", "")], [*page.span_of, len(page.kinds)], [*ends, len(page.kinds)], strict=True):
         if what == "block":
-            if own and (line := " ".join(html.unescape("".join(own)).split())):
+            if inside and own and (line := " ".join(html.unescape("".join(own)).split())):
                 blocks.append(line)
-            own = []
-        elif inside[where]:
+            own, inside = [], False
+        elif not page.off[where]:
             own.append(text)
+            # A block with a word in the region is in it as a whole.
+            inside = inside or any(k[0] != "<" for k in page.kinds[max(begin, first) : min(end, stop)])
     return "\n".join(blocks)
 
 
 @frugal
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(x.as_py()) for x in batch.column("html")]
-        out = {x: batch.column(x) for x in batch.schema.names if x != "html"}
+        texts = [main_text(x.as_py()) for x in batch.column("text")]
+        out = {x: batch.column(x) for x in batch.schema.names}
         out |= {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
         yield pa.RecordBatch.from_pydict(out)
 
@@ -224,12 +261,10 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     an empty table gives an empty result.
     """
     ship(pages.sparkSession)
-    df = pages.drop("text", "n_chars")
-    if html_col != "html":
-        df = df.drop("html").withColumnRenamed(html_col, "html")
-    df = df.withColumn("html", F.col("html").cast("string"))
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "html"]
-    return df.mapInArrow(_extracted, ", ".join([*schema, "text string", "n_chars bigint"]))
+    others = [c for c in pages.columns if c not in ("text", "n_chars", html_col)]
+    df = pages.select(*others, F.col(html_col).cast("string").alias("text"))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    return df.mapInArrow(_extracted, ", ".join([*schema, "n_chars bigint"]))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
