@@ -1,12 +1,13 @@
 """License scan by an exact set-similarity join (native DataFrame functions only).
 
-Every line of a text, with the words that follow it in its paragraph, is a block (so that
-a notice may be wrapped), every template a set of words. A template's
-words are ordered by their frequency in the whole corpus, rarest first. A
-block that holds at least the threshold's share of a template's words holds one
-of the first few of them (prefix filter), has enough words itself (length
-filter), and from the first shared word on both have enough words left
-(positional filter); what passes is verified by intersection.
+A template is a paragraph of a license, a set of words. A text block, any run of consecutive
+words a quarter longer than the template, holds it if it has the threshold's share of the
+template's words. Templates' words are ordered by their frequency in the whole corpus, rarest
+first. A block that reaches the threshold has one of the first few of them (prefix
+filter), so only the words around such a word are looked at; the template's words among
+them must be enough (length filter), and from the first shared one on both sides must have
+enough words left (positional filter). What passes is verified in every block.
+A notice of few words must stand word for word.
 """
 
 from __future__ import annotations
@@ -22,28 +23,41 @@ from sievelight.llm.common import table, text_or_empty
 
 #: Phrases and labels of the base scan.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Share of a template's words that a block must hold.
-THRESHOLD = 0.95
+#: Share of a template's words that a block must hold, words of a block for each of the
+#: template's, and distinct words below which a template is a notice, which must stand word for word.
+THRESHOLD, SPREAD, NOTICE = 0.8, 1.25, 12
+#: Paragraphs and notices of public licenses, by label. A third entry is
+#: a word without which it isn't this license (families share most of their words).
 TEMPLATES = (
-    ("agpl", "licensed under the gnu affero general public license version 3"),
+    ("agpl", "licensed under the gnu affero general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "affero"),
     ("apache", "licensed under the apache license version 2.0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("apache", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0", "apache"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("bsd", "released under the bsd license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("cc-by", "licensed under cc by 4.0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license"),
+    ("cc-by", "licensed under a creative commons attribution 4.0 international license"),
     ("cc-by-nc", "licensed under cc by-nc 4.0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial license"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4.0 international license"),
     ("cc-by-sa", "licensed under cc by-sa 4.0"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike license"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4.0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "licensed under the gnu general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version", "lesser"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "subject to the terms of the mozilla public license v 2.0"),
-    ("public-domain", "this is free and unencumbered software released into the public domain"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2.0"),
+    ("public-domain", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("reserved", "all rights reserved"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What stands between words, whether A-Z are in lower case or not.
@@ -51,8 +65,21 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def sequence(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text)
+
+
 def template_words(text: str) -> list[str]:
-    return sorted(set(re.findall("[a-z0-9]+", text)))
+    return sorted(set(sequence(text)))
+
+
+def is_notice(text: str) -> bool:
+    return len(template_words(text)) < NOTICE
+
+
+def block_words(text: str) -> int:
+    """Words of the blocks that a template is looked for in."""
+    return math.ceil(SPREAD * len(sequence(text)) - 1e-9)
 
 
 def words_of(text: Column) -> Column:
@@ -67,13 +94,6 @@ def _array(values: list) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _runs(text: Column, n: int) -> Column:
-    """Each line of a text with up to n words of the lines after it, as far as no line without a word lies between."""
-    here, word = GAP.replace(r"\x00-\x2F", r"\x00-\x09\x0B-\x2F"), GAP.replace("[", "[^", 1)
-    after = rf"(?:\n{here}*+{word}++(?:{here}*+(?:\n{here}*+)?+{word}++){{0,{max(0, n - 1)}}}+)?+"
-    return F.regexp_extract_all(text, F.lit(rf"(?=([^\n]*+{after}))[^\n]*+(?:\n|\z)"), F.lit(1))
-
-
 def _alternatives(words: list[str]) -> str:
     """Matches a text with one of the words, as a whole word in any case of A-Z."""
     return rf"(?i)(?:^|{GAP})(?:{'|'.join(map(re.escape, words))})(?:{GAP}|$)"
@@ -100,41 +120,57 @@ def word_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> d
 def similarity_join(
     docs: DataFrame,
     text_col: str = "text",
-    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    templates: tuple[tuple[str, ...], ...] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """docs joined with every (block, template, label, containment) of their texts
-    that reaches the threshold; one row per block and template, columns of docs kept."""
+    """docs (less text_col) joined with every (template, label, containment) that one of
+    their blocks reaches; containment is the greatest one around a rare word of the
+    template, so that a document and template may have several rows."""
     spark = docs.sparkSession
-    sets = [template_words(t) for _, t in templates]
+    sets = [template_words(t[1]) for t in templates]
     freq = word_frequencies(docs, text_col, sorted(set().union(*sets)))
     rank = {w: k for k, w in enumerate(sorted(freq, key=lambda w: (freq[w], w)))}
+    need = [len(s) if is_notice(t[1]) else needed(len(s), threshold) for s, t in zip(sets, templates, strict=True)]
     ordered = [sorted(s, key=rank.__getitem__) for s in sets]
     postings = [
-        (w, k, templates[k][0], len(s), p, needed(len(s), threshold), s)
-        for k, s in enumerate(ordered)
-        for p, w in enumerate(s[: len(s) - needed(len(s), threshold) + 1])
+        (w, k, t[0], len(s), p, need[k], s, t[2] if len(t) > 2 else None, sequence(t[1]) if is_notice(t[1]) else None, block_words(t[1]))
+        for k, (s, t) in enumerate(zip(ordered, templates, strict=True))
+        for p, w in enumerate(s[: len(s) - need[k] + 1])
     ]
-    index = spark.createDataFrame(postings, "word string, template int, label string, t_size int, t_place int, needed int, t_words array<string>")
+    index = spark.createDataFrame(
+        postings, "word string, template int, label string, t_size int, t_place int, needed int, t_words array<string>, must string, phrase array<string>, width int"
+    )
     by_rank = _array(sorted(rank, key=rank.__getitem__))
 
     wanted = sorted({p[0] for p in postings})
-    seen = _alternatives(wanted)
     text = text_or_empty(F.col(text_col))
-    longest = max(len(re.findall("[a-z0-9]+", t)) for _, t in templates)
-    blocks = docs.where(_may_hold(text, *wanted) & text.rlike(seen)).withColumn("block", F.explode(_runs(text, longest))).where(F.col("block").rlike(seen))
-    # The block's template words in global order, and the number of its words.
-    blocks = blocks.withColumn("b_all", F.array_distinct(words_of(F.col("block"))))
-    blocks = blocks.withColumn("b_words", F.array_intersect(by_rank, F.col("b_all"))).withColumn("b_size", F.size("b_all"))
-    probe = blocks.select("*", F.posexplode("b_words").alias("b_place", "word")).join(F.broadcast(index), "word")
-    kept = probe.where(
-        (F.col("b_size") >= F.col("needed"))
-        & (1 + F.least(F.col("t_size") - F.col("t_place") - 1, F.size("b_words") - F.col("b_place") - 1) >= F.col("needed"))
+    most = max(block_words(t[1]) for t in templates)
+    # The words around each rare word: what a block that holds it can hold.
+    around = lambda w: F.filter(
+        F.transform(w, lambda x, i: F.when(x.isin(wanted), F.struct(x.alias("word"), F.least(i, F.lit(most - 1)).alias("at"), F.slice(w, F.greatest(i - most + 2, F.lit(1)), F.lit(2 * most - 1)).alias("near")))),
+        lambda x: x.isNotNull(),
     )
-    common = F.array_intersect("b_words", "t_words")
-    # A pair is reported at its first shared word only.
-    kept = kept.withColumn("common", F.size(common)).where((F.col("common") >= F.col("needed")) & (common[0] == F.col("word")))
-    return kept.withColumn("containment", F.col("common") / F.col("t_size")).drop("b_all", "b_words", "b_size", "b_place", "word", "t_words", "t_place", "t_size", "needed", "common")
+    held = docs.where(_may_hold(text, *wanted) & text.rlike(_alternatives(wanted))).withColumn("_words", words_of(text)).drop(text_col)
+    cut = held.withColumn("_cut", F.explode(F.transform(F.array("_words"), around)[0])).drop("_words")
+    cut = cut.select("*", F.col("_cut.word").alias("word"), F.col("_cut.at").alias("_at"), F.col("_cut.near").alias("_near")).drop("_cut")
+    probe = cut.join(F.broadcast(index), "word")
+    probe = probe.withColumn("_near", F.slice("_near", F.greatest(F.col("_at") - F.col("width") + 2, F.lit(1)), F.least(F.col("_at") + 1, F.col("width")) + F.col("width") - 1))
+    # The template words around in global order, as far as the rare word: the first shared one.
+    probe = probe.withColumn("_shared", F.array_intersect(by_rank, F.array_intersect("_near", "t_words")))
+    first = F.array_position("_shared", F.col("word")) - 1
+    # A block whose rarest word this is has only shared words from this one on.
+    kept = probe.where((F.size("_near") >= F.col("needed")) & (F.size("_shared") - first >= F.col("needed")))
+    kept = kept.where(F.col("must").isNull() | F.array_contains("_shared", F.col("must")))
+
+    def best(near: Column) -> Column:
+        starts = F.filter(F.transform(near, lambda x, i: F.when(F.array_contains("t_words", x), i)), lambda i: i.isNotNull())
+        held = lambda i: F.array_intersect(F.slice(near, i + 1, F.col("width")), F.col("t_words"))
+        whole = lambda i: F.when(F.col("must").isNull() | F.array_contains(held(i), F.col("must")), F.size(held(i))).otherwise(0)
+        said = lambda i: F.when(F.slice(near, i + 1, F.size("phrase")) == F.col("phrase"), F.col("t_size")).otherwise(0)
+        return F.array_max(F.transform(starts, lambda i: F.when(F.col("phrase").isNotNull(), said(i)).otherwise(whole(i))))
+
+    kept = kept.withColumn("_common", F.transform(F.array("_near"), best)[0]).where(F.col("_common") >= F.col("needed"))
+    return kept.withColumn("containment", F.col("_common") / F.col("t_size")).select(*[c for c in docs.columns if c != text_col], "template", "label", "containment")
 
 
 def n_words(text: Column) -> Column:
@@ -172,7 +208,8 @@ def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null text counts as empty: no words, empty labels, score 0. score is 1 for
     a text with a base phrase, else the greatest containment of a template that
-    reaches the threshold, else 0. Rows that repeat id and text each give a row.
+    reaches the threshold, else 0. A text under the lesser or the affero license has
+    gpl among its labels too, as the base phrase stands in their names. Rows that repeat id and text each give a row.
     Null ids are kept. Other columns are not read; an empty table gives an
     empty result.
     """
@@ -207,22 +244,25 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    templates = ", ".join(f"('{label}', {template_words(t)!r}, {needed(len(template_words(t)), THRESHOLD)})" for label, t in TEMPLATES)
-    phrase = " UNION ALL ".join(
-        f"SELECT doc_id, i, '{label}' AS label FROM places WHERE {' AND '.join(f'''w[i + {k}] = '{x}' ''' for k, x in enumerate(p.split()))}"
-        for p, label in PHRASES.items()
-    )
+    notices = [(label, sequence(t)) for label, t, *_ in TEMPLATES if is_notice(t)]
+    longer = [(k, t) for k, t in enumerate(TEMPLATES) if not is_notice(t[1])]
+    at = lambda words: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+    phrase = " UNION ALL ".join(f"SELECT doc_id, i, '{label}' AS label FROM places WHERE {at(p.split())}" for p, label in PHRASES.items())
+    notice = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, 1.0 AS c FROM places WHERE {at(words)}" for label, words in notices)
+    rows = ", ".join(f"({k}, '{t[0]}', {template_words(t[1])!r}, {needed(len(template_words(t[1])), THRESHOLD)}, {block_words(t[1])}, {repr(t[2]) if len(t) > 2 else 'NULL'})" for k, t in longer)
     return rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 words AS (SELECT doc_id, regexp_extract_all(t, '{WORD}') AS w FROM d),
 places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
 hits AS ({phrase}),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(label) AS ls FROM hits GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(b, '{WORD}')) AS w
-           FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS b FROM d)),
-templates(label, tw, needed) AS (VALUES {templates}),
-found AS (SELECT doc_id, list(label) AS ls, max(len(list_intersect(w, tw)) / len(tw)) AS most
-          FROM blocks, templates WHERE len(list_intersect(w, tw)) >= needed GROUP BY doc_id)
+templates(k, label, tw, needed, width, must) AS (VALUES {rows}),
+able AS (SELECT doc_id, w, templates.* FROM words, templates WHERE len(list_intersect(w, tw)) >= needed),
+spots AS (SELECT * FROM (SELECT doc_id, k, label, tw, needed, width, must, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM able) WHERE list_contains(tw, word)),
+blocks AS (SELECT a.doc_id, a.k, a.label, a.i, any_value(len(a.tw)) AS size, any_value(a.needed) AS needed, count(DISTINCT b.word) AS n, any_value(a.must) IS NULL OR bool_or(b.word = a.must) AS ok
+           FROM spots a JOIN spots b ON a.doc_id = b.doc_id AND a.k = b.k AND b.i >= a.i AND b.i < a.i + a.width GROUP BY a.doc_id, a.k, a.label, a.i),
+found AS (SELECT doc_id, list(label) AS ls, max(c) AS most FROM (
+           SELECT doc_id, label, n / size AS c FROM blocks WHERE ok AND n >= needed UNION ALL {notice}) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        array_to_string(list_sort(list_distinct(coalesce(base.ls, []))), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(found.ls, [])))), ',') AS labels,

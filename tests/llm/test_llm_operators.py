@@ -304,7 +304,8 @@ def test_wrapped_license(spark):
         (5, "released under\n\nthe mit license"), (6, "released under\n # \nthe mit license"), (7, "released under\n" + "word " * 40 + "\nthe mit license"), (8, "\n\n"),
     ]
     got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("cc0", 1.0), 4: ("mit", 1.0), **dict.fromkeys((5, 6, 7, 8), ("", 0.0))}
+    # Words stand one after the other whatever is between them, as those of the base phrases do.
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("cc0", 1.0), **dict.fromkeys((4, 5, 6), ("mit", 1.0)), **dict.fromkeys((7, 8), ("", 0.0))}
 
 
 # chat formatting
