@@ -132,8 +132,12 @@ def iso_time(seconds: Column) -> Column:
 
 
 def truncated(text: Column, most: int = 8192) -> Column:
-    """At most most characters, with a mark if something is cut."""
-    return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\n[truncated]"))).otherwise(text)
+    """At most most bytes of UTF-8, cut before a character that would pass them, with a mark if something is cut."""
+    # Of the longest prefix a character's later bytes (10xxxxxx) may hang over: drop up to three and the lead of a part.
+    octets = F.substring(text.cast("binary"), 1, most + 1)
+    back = lambda k: F.hex(F.substring(octets, most + 1 - k, 1)).rlike("^[89AB]")
+    keep = F.when(~back(0), most).when(~back(1), most - 1).when(~back(2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) > most, F.concat(F.decode(F.substring(octets, F.lit(1), keep), "UTF-8"), F.lit("\n[truncated]"))).otherwise(text)
 
 
 def fnv1a64(text: Column) -> Column:

@@ -125,9 +125,10 @@ def _phrase_at(phrase: tuple[str, ...]) -> Column:
     return F.exists(places[0], lambda s: reduce(lambda a, b: a & b, [F.array_contains(x, s + k) for k, x in enumerate(places)]))
 
 
-def search_postings(index: DataFrame, lengths: DataFrame, query: str, id_col: str, limit: int = 10) -> DataFrame:
+def search_postings(index: DataFrame, lengths: DataFrame, query: str, id_col: str, limit: int = 10, among: DataFrame | None = None) -> DataFrame:
     """BM25 over a stored index: index (term, id, tf, positions), lengths (id, dl).
-    The query's few terms are pushed down to the scan of the index."""
+    The query's few terms are pushed down to the scan of the index. among: the ids (distinct)
+    that may be found; statistics are those of all."""
     q = parse_query(query)
     hits = index.where(F.col("term").isin(*q.scored))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -143,4 +144,6 @@ def search_postings(index: DataFrame, lengths: DataFrame, query: str, id_col: st
     if q.must_not:
         barred = index.where(F.col("term").isin(*q.must_not)).select(id_col).distinct()
         found = found.join(barred, id_col, "left_anti")
+    if among is not None:
+        found = found.join(among.select(id_col), id_col, "left_semi")
     return found.select(id_col, "score").orderBy(F.desc("score"), F.col(id_col)).limit(max(0, limit))

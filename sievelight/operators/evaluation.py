@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions import metrics
+from sievelight.operators import telemetry
 
 MODES = ("bm25", "hybrid")
 
@@ -87,3 +88,16 @@ def evaluate(spec: DataFrame, run: dict[str, Callable[[DataFrame], DataFrame]],
         scored = score_queries(found, "hits", "expected", k)
         out = scored if out is None else out.unionByName(scored)
     return out
+
+
+def report(scores: DataFrame, folder: str, log: str, k: int = 10) -> str:
+    """Write an evaluation's scores and means to a folder of its own, and a summary event for each
+    mode, with the report's place, to the log. Returns the place."""
+    stamp = scores.sparkSession.sql("SELECT date_format(now(), \"yyyyMMdd'T'HHmmssSSS'Z'\")").first()[0]
+    place = f"{folder.rstrip('/')}/{stamp}-eval"
+    scores.write.json(f"{place}/scores")
+    means = scores.sparkSession.read.schema(scores.schema).json(f"{place}/scores").transform(by_mode)
+    means.coalesce(1).write.json(f"{place}/modes")
+    told = means.select(F.lit("eval_run").alias("kind"), "mode", "queries", "recall", "mrr", "ndcg", F.lit(k).cast("long").alias("k"), F.lit(place).alias("report"))
+    telemetry.append_events(told, log)
+    return place

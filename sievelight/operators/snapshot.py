@@ -42,9 +42,9 @@ class Store:
     made anew.
     """
 
-    def __init__(self, spark: SparkSession, path: str, derive: Callable[[DataFrame], DataFrame], schema_version: int = 1, model: str = "", key: str = "path", buckets: int = 16) -> None:
+    def __init__(self, spark: SparkSession, path: str, derive: Callable[[DataFrame], DataFrame], schema_version: int = 1, model: str = "", key: str = "path", buckets: int = 16, order: tuple[str, ...] = ()) -> None:
         self.spark, self.path, self.derive = spark, path.rstrip("/"), derive
-        self.version, self.model, self.key, self.buckets = schema_version, model, key, buckets
+        self.version, self.model, self.key, self.buckets, self.order = schema_version, model, key, buckets, order
 
     def _fs(self, name: str) -> tuple:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -91,9 +91,9 @@ class Store:
             new.withColumn("_bucket", bucket).write.mode("overwrite").parquet(staged)
             for row in touched.collect():  # buckets at most
                 self._drop(f"table/_bucket={row[0]}")
-            self.spark.read.parquet(staged).repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(f"{self.path}/table")
+            self._laid(self.spark.read.parquet(staged)).write.mode("append").partitionBy("_bucket").parquet(f"{self.path}/table")
         else:
-            self.derive(source).withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/table")
+            self._laid(self.derive(source).withColumn("_bucket", bucket)).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/table")
         if changes is not None:
             changes.unpersist()
         turn = (found or {}).get("turn", 0) + 1
@@ -108,6 +108,11 @@ class Store:
         self._drop("staged")
         return {"mode": mode, "files": n_files, "chunks": self.table().count()}
 
+    def _laid(self, rows: DataFrame) -> DataFrame:
+        """Rows by bucket, and in a bucket by the store's order, so that a filter on it skips row groups."""
+        dealt = rows.repartition("_bucket")
+        return dealt.sortWithinPartitions("_bucket", *self.order) if self.order else dealt
+
     def _drop(self, name: str) -> None:
         fs, place = self._fs(name)
         fs.delete(place, True)

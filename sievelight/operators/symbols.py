@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelight.operators import relations
@@ -354,6 +354,24 @@ def import_table(files: DataFrame) -> DataFrame:
     return _over(files, IMPORTS, lambda p, t, lang: [(p, p, x) for x in imports_of(t, lang)])
 
 
+def outlined(found: DataFrame, most: int = 400) -> DataFrame:
+    """An outline of definitions (path, name, kind, start, end, parent, signature): path, start,
+    place in the file (from 1), depth and head. A definition stands below its parent's first type
+    or impl in the file that holds it, or, outside of all (a method of a type declared
+    elsewhere), below the type itself; others stand at depth 0 in order of their lines."""
+    head = F.coalesce("signature", F.concat_ws(" ", "kind", "name"))
+    own = found.select("path", "name", "start", "end", "parent", head.alias("head"))
+    held = own.where("parent is not null")
+    outer = found.where(F.col("kind") != "method").select("path", F.col("name").alias("parent"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
+    within = (F.col("o_start") <= F.col("start")) & (F.col("end") <= F.col("o_end"))
+    above = held.join(outer, ["path", "parent"]).groupBy("path", "name", "start").agg(
+        F.max(F.when(within, F.col("o_start"))).alias("in_start"), F.min("o_start").alias("of_start")
+    ).select("path", "name", "start", F.coalesce("in_start", "of_start").alias("above"))
+    rows = own.join(above, ["path", "name", "start"], "left").withColumn("depth", F.col("above").isNotNull().cast("int"))
+    order = Window.partitionBy("path").orderBy(F.coalesce("above", "start"), "depth", "start", "name")
+    return rows.select("path", "start", F.row_number().over(order).alias("place"), "depth", "head").orderBy("path", "place").limit(most)
+
+
 class SymbolStore:
     """Definitions, imports and identifiers of a tree, as Parquet tables in a folder."""
 
@@ -412,6 +430,5 @@ class SymbolStore:
         return relations.groups(self.table("definitions")).orderBy("name")
 
     def outline(self, most: int = 400) -> DataFrame:
-        """Declaration heads by file and line: the signature, else kind and name."""
-        head = F.coalesce("signature", F.concat_ws(" ", "kind", "name"))
-        return self.table("definitions").orderBy("path", "start").limit(most).select("path", "start", head.alias("head"), "parent")
+        """Declaration heads by file, methods under their types."""
+        return outlined(self.table("definitions"), most)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +14,9 @@ from sievelight.functions.text import iso_time, redacted_query
 SAMPLES = 10
 SCHEMA = (
     "ts bigint, iso string, kind string, mode string, query string, total_ms bigint, results bigint, fallback boolean, error string, "
-    "store string, files bigint, chunks bigint, rebuilt boolean, recall double, mrr double, ndcg double"
+    "store string, files bigint, chunks bigint, rebuilt boolean, incremental boolean, recall double, mrr double, ndcg double, k bigint, queries bigint, report string"
 )
+BUILD = "kind string, store string, files bigint, chunks bigint, rebuilt boolean, incremental boolean, error string, total_ms bigint"
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -32,6 +36,24 @@ def append_events(events: DataFrame, path: str, log_queries: bool = True) -> Non
     out.write.mode("append").json(path)
 
 
+def recorded(spark: SparkSession, log: str, store: str, build: Callable[[], dict]) -> dict:
+    """What build returns (mode, files, chunks), its outcome added to the log: store, files, chunks,
+    rebuilt, incremental and milliseconds, or its error, which is raised again."""
+    began = time.time()
+    event: dict = {"kind": "index_build", "store": store}
+    try:
+        done = build()
+        event |= {"files": done["files"], "chunks": done["chunks"], "rebuilt": done["mode"] == "full", "incremental": done["mode"] == "delta"}
+        return done
+    except Exception as e:
+        event["error"] = str(e)[:200]
+        raise
+    finally:
+        event["total_ms"] = int((time.time() - began) * 1000)
+        row = spark.createDataFrame([tuple(event.get(c) for c in ("kind", "store", "files", "chunks", "rebuilt", "incremental", "error", "total_ms"))], BUILD)
+        append_events(row, log)
+
+
 def totals(events: DataFrame) -> DataFrame:
     kind = lambda k: F.count_if(F.col("kind") == k)
     return events.agg(F.count(F.lit(1)).alias("events"), kind("search").alias("searches"), kind("index_build").alias("builds"), kind("eval_run").alias("evals"))
@@ -54,6 +76,20 @@ def by_mode(events: DataFrame) -> DataFrame:
     )
 
 
+def shortcomings(events: DataFrame, most: int = 100) -> DataFrame:
+    """What went wrong by mode: mode, what ('error', 'zero_result' or 'fallback'), query, times, place.
+    Of each mode and kind the most frequent queries, at most so many: the rows of a report. A
+    query counts once per event; equal numbers go by the query."""
+    ok = F.col("error").isNull()
+    kinds = F.array(
+        F.when(~ok, F.lit("error")), F.when(ok & (F.coalesce("results", F.lit(0)) == 0), F.lit("zero_result")), F.when(ok & F.coalesce("fallback", F.lit(False)), F.lit("fallback"))
+    )
+    rows = events.where("kind = 'search'").select(F.coalesce("mode", F.lit("unknown")).alias("mode"), F.explode(F.array_compact(kinds)).alias("what"), F.coalesce("query", F.lit("")).alias("query"))
+    counted = rows.groupBy("mode", "what", "query").agg(F.count(F.lit(1)).alias("times"))
+    place = F.row_number().over(Window.partitionBy("mode", "what").orderBy(F.desc("times"), "query"))
+    return counted.withColumn("place", place).where(F.col("place") <= most)
+
+
 def slowest(events: DataFrame, n: int = SAMPLES, *ties: str) -> DataFrame:
     """The slowest successful searches of each mode: at most n, with their place."""
     order = Window.partitionBy("mode").orderBy(F.desc("total_ms"), F.desc("results"), *[F.col(t) for t in ties])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievelight.plans import corpus, retrieval
+from sievelight.plans import corpus, fixtures, retrieval
 
-MODULES = (retrieval, corpus)
+MODULES = (retrieval, corpus, fixtures)
 
 
 def queries() -> dict:

@@ -216,14 +216,8 @@ def redact_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.redacted_url(u).alias("url"))
 
 
-def like_escape_whole(spark: SparkSession, d: str) -> DataFrame:
-    odd = F.concat("text", F.lit("50%_done\\x"))
-    return table(spark, d, "documents").select("doc_id", text.like_escaped(odd).alias("escaped"))
-
-
 def like_escape(spark: SparkSession, d: str) -> DataFrame:
-    """What its SQL checks: the first 20 characters of each text; like_escape_whole has all of them."""
-    odd = F.concat(F.left("text", F.lit(20)), F.lit("50%_done\\x"))
+    odd = F.concat("text", F.lit("50%_done\\x"))
     return table(spark, d, "documents").select("doc_id", text.like_escaped(odd).alias("escaped"))
 
 
@@ -286,7 +280,7 @@ QUERIES = {f.__name__: f for f in (
     chunk_windows, chunk_trim, region_prune, region_gaps, metrics_totals, metrics_by_mode, metrics_zero_result, metrics_slowest, metrics_tail, metrics_last_build,
     metrics_evals, trace_lines, snapshot_diff, refresh_policy, incremental_equals_full, import_edges, importers_suffix, import_in_degree, group_by_name,
     containment_nest, orphans_anti, refs_minus_defs, typed_semi, lang_stats_total, severity_topk, runner_priority, runner_first_name, config_overlay,
-    settings_overlay, todo_scan, readme_head, redact_url, like_escape, like_escape_whole, truncate_half, iso_ts, fmt_ms, brace_group, fnv1a, stream_metrics, hourly_metrics,
+    settings_overlay, todo_scan, readme_head, redact_url, like_escape, truncate_half, iso_ts, fmt_ms, brace_group, fnv1a, stream_metrics, hourly_metrics,
     first_line_of_group,
 )}
 SQL = {
@@ -347,8 +341,7 @@ m AS (SELECT doc_id, ls, list_filter(range(len(ls)), lambda i: starts_with(ls[i
 n AS (SELECT doc_id, ls, least(coalesce(k[2], len(ls)), 5, len(ls)) AS n FROM m)
 SELECT doc_id, array_to_string(ls[1:n], chr(10)) AS head, len(ls) - n AS more FROM n""",
     "redact_url": "SELECT page_id, CASE WHEN contains(url, '@') THEN regexp_replace(url, '^(.*?://)[^@]*@', '\\1') ELSE url END AS url FROM pages",
-    "like_escape": r"SELECT doc_id, regexp_replace(left(text, 20) || '50%_done\x', '([\\%_])', '\\\1', 'g') AS escaped FROM documents",
-    "like_escape_whole": r"SELECT doc_id, regexp_replace(text || '50%_done\x', '([\\%_])', '\\\1', 'g') AS escaped FROM documents",
+    "like_escape": r"SELECT doc_id, regexp_replace(text || '50%_done\x', '([\\%_])', '\\\1', 'g') AS escaped FROM documents",
     "truncate_half": "SELECT doc_id, left(text, length(text) // 2) AS half FROM documents",
     "iso_ts": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events",
     "fmt_ms": "SELECT event_id, CASE WHEN ms >= 10000 THEN (floor(ms / 100 + 0.5)::BIGINT // 10) || '.' || (floor(ms / 100 + 0.5)::BIGINT % 10) || 's' ELSE ms || 'ms' END AS took FROM (SELECT event_id, event_id * 137 % 40000 AS ms FROM events)",

@@ -29,31 +29,31 @@ def postings_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.orderBy(F.desc("cf"), "term").limit(100)
 
 
-def _rounded(df: DataFrame) -> DataFrame:
+def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(bm25.search(spread(table(spark, d, "documents").select("doc_id", "text")), QUERY, "doc_id", "text", 50))
+    return rounded(bm25.search(spread(table(spark, d, "documents").select("doc_id", "text")), QUERY, "doc_id", "text", 50))
 
 
 def bm25_lang(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(bm25.search(spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source")), QUERY, "doc_id", "text", 50, F.col("lang") == "en", ("lang",)))
+    return rounded(bm25.search(spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source")), QUERY, "doc_id", "text", 50, F.col("lang") == "en", ("lang",)))
 
 
 def bm25_path(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(bm25.search(spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source")), QUERY, "doc_id", "text", 50, F.contains("source", F.lit("src1")), ("source",)))
+    return rounded(bm25.search(spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source")), QUERY, "doc_id", "text", 50, F.contains("source", F.lit("src1")), ("source",)))
 
 
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(bm25.search(spread(table(spark, d, "documents").select("doc_id", "text")), PHRASE, "doc_id", "text", 50))
+    return rounded(bm25.search(spread(table(spark, d, "documents").select("doc_id", "text")), PHRASE, "doc_id", "text", 50))
 
 
 def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
     """The same ranking from an inverted index."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     lengths = docs.select("doc_id", F.size(text.index_tokens(F.col("text"))).alias("dl"))
-    return _rounded(bm25.search_postings(bm25.postings(docs, "doc_id", "text"), lengths, QUERY, "doc_id", 50))
+    return rounded(bm25.search_postings(bm25.postings(docs, "doc_id", "text"), lengths, QUERY, "doc_id", 50))
 
 
 def _query_vector(vectors: DataFrame, vec_id: int) -> DataFrame:
@@ -66,11 +66,11 @@ def _dense(spark: SparkSession, d: str, vec_id: int, where: Column | None = None
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_dense(spark, d, 0))
+    return rounded(_dense(spark, d, 0))
 
 
 def dense_label(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_dense(spark, d, 0, F.col("label") == 1))
+    return rounded(_dense(spark, d, 0, F.col("label") == 1))
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     from sievelight.plans.search import hashed_vector
 
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    lexical = fusion.ranked(_rounded(bm25.search(docs, QUERY, "doc_id", "text", 50)), "score", "doc_id")
+    lexical = fusion.ranked(rounded(bm25.search(docs, QUERY, "doc_id", "text", 50)), "score", "doc_id")
     vectors = docs.select("doc_id", text.made_once(hashed_vector(F.col("text"))).alias("v"))
     query = spark.range(1).select(text.made_once(hashed_vector(F.lit(QUERY))).alias("qvec"))
     dense = fusion.ranked(fusion.dense_topk(vectors, query, "doc_id", "v", 50).withColumn("score", F.round("score", 9)), "score", "doc_id")
@@ -107,11 +107,6 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_scores(spark: SparkSession, d: str) -> DataFrame:
-    """What its SQL checks: the users whose id ends in 0; eval_scores_all has all of them."""
-    return _user_scores(table(spark, d, "events").where("user_id % 10 = 0"))
-
-
-def eval_scores_all(spark: SparkSession, d: str) -> DataFrame:
     return _user_scores(table(spark, d, "events"))
 
 
@@ -204,7 +199,7 @@ _LOW = "list_transform(regexp_extract_all({t}, '[A-Za-z0-9]+'), lambda w: lower(
 
 QUERIES = {f.__name__: f for f in (
     tok_runs, tok_subwords, postings_stats, bm25_topk, bm25_lang, bm25_path, bm25_phrase, bm25_postings, dense_topk, dense_label, rrf_fusion,
-    rerank_select, rerank_window, hybrid_search, eval_scores, eval_scores_all, eval_single, eval_by_mode, rank_metrics,
+    rerank_select, rerank_window, hybrid_search, eval_scores, eval_single, eval_by_mode, rank_metrics,
 )}
 _Q = QUERY.split()
 SQL = {
@@ -240,7 +235,7 @@ b AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) -
 f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.r AS r1, b.r AS r2, coalesce(1.0 / (61 + a.r), 0) + coalesce(1.0 / (61 + b.r), 0) AS fused FROM a FULL JOIN b ON a.doc_id = b.doc_id)
 SELECT doc_id, r1, r2, round(fused, 9) AS fused, row_number() OVER (ORDER BY f.fused DESC, coalesce(r1, (SELECT count(*) FROM a) + r2)) - 1 AS place FROM f ORDER BY place LIMIT 10""",
     "eval_scores": """
-WITH RECURSIVE e AS (SELECT * FROM events WHERE user_id % 10 = 0),
+WITH RECURSIVE e AS (SELECT * FROM events),
 h AS (SELECT user_id, event_type AS path, event_id % 40 AS s, event_id % 40 + 9 AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, event_type) AS k FROM e QUALIFY k <= 10),
 w AS (SELECT user_id, event_type AS path, event_id % 40 AS l, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC, event_type DESC) AS i FROM e QUALIFY i <= 3),
 x AS (SELECT user_id, list({'i': i, 'path': path, 'lo': CASE WHEN i > 1 THEN l END, 'hi': CASE WHEN i > 1 THEN l + 9 END} ORDER BY i) AS x FROM w GROUP BY user_id),
@@ -272,4 +267,3 @@ SELECT doc_id, round(CASE WHEN list_position(list_transform(g, lambda x: x > 0),
    list_sum(list_transform(g[1:3], lambda x, i: (pow(2, x) - 1) / log2(i + 1))) / list_sum(list_transform(list_reverse_sort(g)[1:3], lambda x, i: (pow(2, x) - 1) / log2(i + 1))) END, 6) AS ndcg3
 FROM n""",
 }
-SQL["eval_scores_all"] = SQL["eval_scores"].replace(" WHERE user_id % 10 = 0", "")

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.operators import telemetry
-
-
-def _state_dir(spark: SparkSession) -> str:
-    """A folder for checkpoints and results that all executors share, if the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievelight-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from sievelight.plans.tables import work_dir
 
 
 def as_log(events: DataFrame) -> DataFrame:
@@ -40,7 +33,7 @@ def replay(spark: SparkSession, source: str, schema: str, sink: str, transform:
 
 def replayed_metrics(spark: SparkSession, source: str) -> DataFrame:
     """The per-mode roll-up of a folder of event files (or one file) that is read as a stream."""
-    sink = _state_dir(spark)
+    sink = work_dir(spark, "stream")
     schema = spark.read.parquet(source).schema
     folder, name = source.rstrip("/").rsplit("/", 1)
     place = spark._jvm.org.apache.hadoop.fs.Path(source)
