@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a local one is set.
+    Only where the session has none and runs on one machine (tests) a local one is set; a
+    cluster without the setting is an error.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = spark.conf.get("spark.sievelight.shared.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="sievelight-")
         spark.conf.set("spark.sievelight.shared.dir", place)
     return place.rstrip("/")
