@@ -18,13 +18,13 @@ from pyspark.sql import types as T
 
 from sievelight.llm import bytesops
 from sievelight.llm.bytesops import frugal
-from sievelight.llm.common import ship, table, text_or_empty
+from sievelight.llm.common import materialise, ship, table, text_or_empty
 from sievelight.llm.fm_index import FMIndex
 
 #: Words of a window; characters of benchmark text that one pass over the
-#: documents looks for (a larger benchmark takes several passes, in blocks);
-#: known words of a shard.
-WINDOW, BLOCK_CHARS, SHARD_WORDS = 10, 1 << 25, 1 << 19
+#: documents looks for (a larger benchmark takes several passes, in blocks, and
+#: the driver holds two blocks at a time); known words of a shard; windows searched at once.
+WINDOW, BLOCK_CHARS, SHARD_WORDS, AT_ONCE = 10, 1 << 24, 1 << 19, 1 << 16
 #: Bytes that separate words once A-Z are in lower case.
 IS_GAP = np.zeros(256, bool)
 IS_GAP[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
@@ -46,24 +46,42 @@ def hashed_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
 
 
 class Windows:
-    """The distinct windows of a block of benchmark items, as symbols 1.. of their words."""
+    """The distinct windows of a block of benchmark items, as symbols 1.. of their words:
+    places in the items' words laid one after another, and the items that own them."""
 
     def __init__(self, items: list[tuple[str, str]], width: int = WINDOW) -> None:
-        self.width = width
         self.ids = sorted({i for i, _ in items})
         number = {x: k for k, x in enumerate(self.ids)}
-        h = [w[1][w[4][k] : w[4][k + 1]] for w in hashed_words(pa.array([t for _, t in items], pa.string())) for k in range(len(w[4]) - 1)]
-        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *h]))
-        owners: dict[bytes, set[int]] = {}
-        for (item, _), own in zip(items, h, strict=True):
-            symbols = np.searchsorted(self.vocabulary, own) + 1
-            for k in range(max(1, len(symbols) - width + 1) if len(symbols) else 0):
-                owners.setdefault(symbols[k : k + width].astype(np.int64).tobytes(), set()).add(number[item])
-        by_length: dict[int, list[bytes]] = {}
-        for w in sorted(owners):
-            by_length.setdefault(len(w) // 8, []).append(w)
-        self.groups = [(n, np.frombuffer(b"".join(ws), np.int64).reshape(-1, n), [sorted(owners[w]) for w in ws]) for n, ws in sorted(by_length.items())]
-        self.least = min(by_length, default=0)
+        hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, h, _, _, first in hashed_words(pa.array([t for _, t in items], pa.string())):
+            hashes.append(h)
+            sizes.append(np.diff(first))
+        h, size = np.concatenate(hashes), np.concatenate(sizes)
+        self.vocabulary = np.unique(h)
+        self.words = (np.searchsorted(self.vocabulary, h) + 1).astype(np.int32)
+        begin = np.cumsum(size) - size
+        owner = np.array([number[i] for i, _ in items], np.int32)
+        #: (words, first word of each distinct window, where its owners begin, owners) by length
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(np.minimum(size[size > 0], width)).tolist():
+            own = np.flatnonzero(np.minimum(size, width) == n)
+            times = size[own] - n + 1
+            start = np.arange(times.sum()) + np.repeat(begin[own] - np.cumsum(times) + times, times)
+            whole = np.lib.stride_tricks.sliding_window_view(self.words, n)[start]
+            _, of = np.unique(np.ascontiguousarray(whole).view(np.dtype((np.void, 4 * n))).ravel(), return_inverse=True)
+            pair = np.unique(of.astype(np.int64) * len(self.ids) + np.repeat(owner[own], times))
+            place = np.zeros(of.max() + 1, np.int32)
+            place[of] = start
+            at = np.searchsorted(pair // len(self.ids), np.arange(len(place) + 1)).astype(np.int32)
+            self.groups.append((n, place, at, (pair % len(self.ids)).astype(np.int32)))
+        self.least = min((g[0] for g in self.groups), default=0)
+
+    def owners(self, group: int, windows: np.ndarray) -> list[str]:
+        """The items that own any of the windows (distinct numbers) of a group."""
+        _, _, at, own = self.groups[group]
+        times = at[windows + 1] - at[windows]
+        index = np.arange(times.sum()) + np.repeat(at[windows] - np.cumsum(times) + times, times)
+        return [self.ids[k] for k in np.unique(own[index]).tolist()]
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's symbol, 0 if the benchmark doesn't know it."""
@@ -96,20 +114,22 @@ class _Shard:
             self.parts.append((symbols[index], lengths, row + lo, index - first[row]))
             self.n += len(index)
 
-    def search(self) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, list[list[int]]]]:
-        """(rows, first words, length, window numbers, owners) of all occurrences."""
+    def search(self) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+        """(rows, first words, group, window numbers) of all occurrences."""
         if not self.parts:
             return
         symbols, lengths, row, word = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         index = FMIndex(symbols, lengths, len(self.windows.vocabulary))
-        for n, phrases, owners in self.windows.groups:
-            lo, hi = index.search(phrases)
-            hit = np.flatnonzero(hi > lo)
-            times = hi[hit] - lo[hit]
-            if len(hit):
-                at = np.arange(times.sum()) + np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
-                place = index.locate(at)
-                yield row[place], word[place], n, np.repeat(hit, times), owners
+        for group, (n, start, _, _) in enumerate(self.windows.groups):
+            for k in range(0, len(start), AT_ONCE):
+                phrases = self.windows.words[start[k : k + AT_ONCE, None] + np.arange(n)]
+                lo, hi = index.search(phrases)
+                hit = np.flatnonzero(hi > lo)
+                times = hi[hit] - lo[hit]
+                if len(hit):
+                    at = np.arange(times.sum()) + np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
+                    place = index.locate(at)
+                    yield row[place], word[place], group, np.repeat(hit + k, times)
         self.parts, self.n = [], 0
 
 
@@ -123,7 +143,7 @@ def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[new], np.concatenate([end[:-1][new[1:]], end[-1:]])
 
 
-def _scan(windows: Windows, keep_text: bool, cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(windows: Windows, text_col: str, keep_text: bool, cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +151,7 @@ def _scan(windows: Windows, keep_text: bool, cut: bool) -> Callable[[Iterator[pa
             found: list = []
             bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             shard = _Shard(windows)
-            for lo, h, start, end, first in hashed_words(batch.column("text")):
+            for lo, h, start, end, first in hashed_words(batch.column(batch.schema.get_field_index(text_col))):
                 n_words[lo : lo + len(first) - 1] = np.diff(first)
                 shard.add(lo, windows.symbols(h), first)
                 if shard.parts:  # byte places are kept only of texts with a long known run
@@ -144,14 +164,15 @@ def _scan(windows: Windows, keep_text: bool, cut: bool) -> Callable[[Iterator[pa
             found.extend(shard.search())
             ranges: dict[int, list] = {}
             items: dict[int, set] = {}
-            for rows, word, n, window, owners in found:
+            for rows, word, group, window in found:
+                n = windows.groups[group][0]
                 order = np.argsort(rows, kind="stable")
                 rows, word, window = rows[order], word[order], window[order]
                 begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])).tolist()
                 for a, b in zip(begins, [*begins[1:], len(rows)], strict=True):
                     r = int(rows[a])
                     ranges.setdefault(r, []).append((word[a:b], word[a:b] + n))
-                    items.setdefault(r, set()).update(windows.ids[k] for w in np.unique(window[a:b]).tolist() for k in owners[w])
+                    items.setdefault(r, set()).update(windows.owners(group, np.unique(window[a:b])))
             old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
             for r, own in ranges.items():
                 first = np.concatenate([x for x, _ in own] + [np.array([s["first_word"] for s in old_spans[r]], np.int64)])
@@ -163,9 +184,9 @@ def _scan(windows: Windows, keep_text: bool, cut: bool) -> Callable[[Iterator[pa
                     for a, b in zip(first.tolist(), end.tolist(), strict=True)
                 ]
                 old_items[r] = sorted({*old_items[r], *items[r]})
-            out = {x: batch.column(x) for x in batch.schema.names if x != "text" or keep_text}
+            out = {x: batch.column(x) for x in batch.schema.names if x != text_col or keep_text}
             if cut and any(old_spans):
-                out["text"] = _cut(batch.column("text"), old_spans)
+                out[text_col] = _cut(batch.column(text_col), old_spans)
             out |= {"n_words": pa.array(n_words), "spans": pa.array(old_spans, pa.list_(SPAN)), "items": pa.array(old_items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_pydict(out)
 
@@ -210,21 +231,20 @@ def contamination(
     ship(docs.sparkSession)
     keep_text = keep_text or cut
     items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), text_or_empty(F.col(bench_text_col)).alias("text"))
-    blocks = [Windows(b) for b in _blocks(items.where("text != ''"), block_chars)] or [Windows([])]
     state = "array<struct<first_word: bigint, end_word: bigint, first_byte: bigint, end_byte: bigint>>"
-    df = docs.drop("n_words", "spans", "items")
-    if text_col != "text":
-        df = df.drop("text").withColumnRenamed(text_col, "text")
-    df = df.withColumns({
+    df = docs.drop("n_words", "spans", "items").withColumns({
         "n_words": F.lit(0).cast("long"),
         "spans": F.array().cast(state),
         "items": F.array().cast("array<string>"),
-    }).withColumn("text", F.col("text").cast("string"))
-    for k, windows in enumerate(blocks):
-        last = k == len(blocks) - 1 and not keep_text
-        schema = T.StructType([f for f in df.schema.fields if f.name != "text" or not last])
-        df = df.mapInArrow(_scan(windows, not last, cut and k == len(blocks) - 1), schema)
-    return df.withColumnRenamed("text", text_col) if keep_text else df
+        text_col: F.col(text_col).cast("string"),
+    })
+    blocks = _blocks(items.where("text != ''"), block_chars)
+    now = next(blocks, [])
+    while (after := next(blocks, None)) is not None:  # a block at a time, so that neither driver nor task holds them all
+        df = materialise(df.mapInArrow(_scan(Windows(now), text_col, True, False), df.schema), "screened")
+        now = after
+    schema = T.StructType([f for f in df.schema.fields if f.name != text_col or keep_text])
+    return df.mapInArrow(_scan(Windows(now), text_col, keep_text, cut), schema)
 
 
 def _cut(texts: pa.Array, spans: list[list[dict]]) -> pa.Array:
