@@ -22,6 +22,8 @@ from sievelight.llm.common import ship, table
 #: Dimensions and letters: 0 is any gap between letters, 1 to 26 are a to z,
 #: other letters share the rest by code point.
 DIM, LETTERS = 1024, 64
+#: Counts (rows times distinct trigrams) and distinct trigrams that are worked on at a time.
+STEP, CODES = 1 << 22, 1 << 13
 
 _rng = np.random.Generator(np.random.PCG64(11))
 _LETTER = (_rng.integers(0, 2, (LETTERS, DIM), dtype=np.int8) * 2 - 1).astype(np.int8)
@@ -79,13 +81,31 @@ def trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield lo, hi - lo, row[1:-1][centred], code[centred]
 
 
-def _counts(code: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the distinct codes, a matrix of their counts in each row)."""
+def bundles(code: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the sum of its trigrams' vectors; row is in order. Rows and
+    distinct codes are taken in steps, so that no step counts over STEP entries or one row."""
+    out = np.zeros((n, DIM), np.float32)
     seen = np.zeros(LETTERS**3, np.int64)
-    seen[code] = 1
-    some = np.flatnonzero(seen)
-    seen[some] = np.arange(len(some))
-    return some, np.bincount(row * len(some) + seen[code], minlength=n * len(some)).reshape(n, len(some)).astype(np.float32)
+    lo = 0
+    while lo < n:
+        begin, hi = np.searchsorted(row, lo), n
+        while hi - lo > 1:
+            seen[:] = 0
+            seen[code[begin : np.searchsorted(row, hi)]] = 1
+            if (hi - lo) * int(seen.sum()) <= STEP:
+                break
+            hi = lo + (hi - lo) // 2
+        stop = np.searchsorted(row, hi)
+        own = code[begin:stop]
+        seen[:] = 0
+        seen[own] = 1
+        some = np.flatnonzero(seen)
+        seen[some] = np.arange(len(some))
+        counts = np.bincount((row[begin:stop] - lo) * len(some) + seen[own], minlength=(hi - lo) * len(some)).reshape(hi - lo, len(some))
+        for k in range(0, len(some), CODES):
+            out[lo:hi] += counts[:, k : k + CODES].astype(np.float32) @ trigram_vectors(some[k : k + CODES]).astype(np.float32)
+        lo = hi
+    return out
 
 
 @frugal
@@ -96,9 +116,8 @@ def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array(batch.column(1).to_pylist(), object)
         for lo, n, row, code in trigrams(batch.column(0)):
             names, of = np.unique(langs[lo : lo + n].astype(str), return_inverse=True)
-            some, counts = _counts(code, of[row], len(names))
-            bundle = counts @ trigram_vectors(some).astype(np.float32)
-            for name, own in zip(names.tolist(), bundle, strict=True):
+            order = np.argsort(of[row], kind="stable")
+            for name, own in zip(names.tolist(), bundles(code[order], of[row][order], len(names)), strict=True):
                 total[name] = total.get(name, 0) + own.astype(np.float64)
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "bundle"]
@@ -121,7 +140,7 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return {k: out[k] for k in sorted(out) if np.any(out[k])}
 
 
-def _compared(models: dict[str, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compared(models: dict[str, np.ndarray], text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = np.array([*models, "und"], object)
     unit = np.array([v / np.linalg.norm(v) for v in models.values()], np.float32).reshape(-1, DIM)
 
@@ -130,15 +149,14 @@ def _compared(models: dict[str, np.ndarray]) -> Callable[[Iterator[pa.RecordBatc
         for batch in batches:
             best = np.full(batch.num_rows, len(names) - 1)
             score = np.zeros(batch.num_rows)
-            for lo, n, row, code in trigrams(batch.column(batch.schema.get_field_index("text"))):
-                some, counts = _counts(code, row, n)
-                vector = counts @ trigram_vectors(some).astype(np.float32)
+            for lo, n, row, code in trigrams(batch.column(batch.schema.get_field_index(text_col))):
+                vector = bundles(code, row, n)
                 length = np.linalg.norm(vector, axis=1)
-                live = np.flatnonzero(counts.any(1)) if len(unit) else np.zeros(0, int)
+                live = np.unique(row) if len(unit) else np.zeros(0, int)
                 cosine = vector[live] @ unit.T / np.maximum(length[live], 1e-9)[:, None]
                 best[lo + live] = cosine.argmax(1) if len(live) else 0
                 score[lo + live] = np.clip(cosine.max(1), 0, 1) if len(live) else 0
-            out = {x: batch.column(x) for x in batch.schema.names if x != "text"}
+            out = {x: batch.column(x) for x in batch.schema.names if x != text_col}
             out |= {"lang_pred": pa.array(names[best].tolist(), pa.string()), "score": pa.array(score)}
             yield pa.RecordBatch.from_pydict(out)
 
@@ -154,12 +172,9 @@ def identify(docs: DataFrame, models: dict[str, np.ndarray], text_col: str = "te
     empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    df = docs.drop("lang_pred", "score")
-    if text_col != "text":
-        df = df.drop("text").withColumnRenamed(text_col, "text")
-    df = df.withColumn("text", F.col("text").cast("string"))
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "text"]
-    return df.mapInArrow(_compared(models), ", ".join([*schema, "lang_pred string", "score double"]))
+    df = docs.drop("lang_pred", "score").withColumn(text_col, F.col(text_col).cast("string"))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text_col]
+    return df.mapInArrow(_compared(models, text_col), ", ".join([*schema, "lang_pred string", "score double"]))
 
 
 def fold(id_col: str, folds: int) -> Column:
