@@ -15,6 +15,10 @@ with the bytes they cover, is a context.
    LENGTH or more). An anchor with more contexts than a block holds is dealt to
    several; the windows that stay first in theirs are compared by hash: up to NEAR
    neighbours share one row, keyed by the bytes common to all of them.
+
+Anchors with many different contexts are told from a sample of the texts and dealt
+to several tasks by their contexts' hashes. That decides only where contexts
+meet: results are the same whatever the sample holds.
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ from sievelight.llm.decontaminate import merged
 #: Bytes of a repeat, of an anchor, of the windows worked on at a time, of a block's
 #: contexts; neighbouring windows that go together where an anchor is split.
 LENGTH, K, SLAB, BLOCK, NEAR = 100, 32, 1 << 19, 1 << 20, 8
+#: Texts (about) of the sample; an anchor is hot with LEAST_HOT different contexts in it
+#: or more, if they are at least one in HOT of the sample's contexts: fewer than HOT are.
+SAMPLE_TEXTS, LEAST_HOT, HOT = 4096, 64, 4096
 _PLACE = np.uint64((1 << 24) - 1)
 
 MARKS = "rid bigint, first int, stop int"
@@ -96,16 +103,17 @@ def _rows(kind: np.ndarray, anchor: np.ndarray, h: np.ndarray, rid: np.ndarray,
     """Rows of kind 0 (a context), 1 (bytes that go) or 2 (a window that is first in its block)."""
     return pa.RecordBatch.from_arrays(
         [pa.array(kind.astype(np.int8)), pa.array(anchor), pa.array(h), pa.array(rid), pa.array(first.astype(np.int32)), pa.array(length.astype(np.int32))],
-        ["kind", "anchor", "h", "rid", "first", "length"],
+        _NAMES,
     )
 
 
 ROWS = "kind tinyint, anchor bigint, h bigint, rid bigint, first int, length int"
+_NAMES = ["kind", "anchor", "h", "rid", "first", "length"]
 
 
 def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor, hash and place: repeated contexts go; the first of
-    each context passes if its anchor has another one too."""
+    each context passes if its anchor has another one too (a hot one does, maybe elsewhere)."""
     at, seen, many, waiting = None, None, False, None
     for batch in batches:
         n = batch.num_rows
@@ -116,6 +124,7 @@ def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = same & np.concatenate([[h[0] == seen], h[1:] == h[:-1]])
         group = np.cumsum(~same)  # 0: goes on from the last batch
         fresh = np.bincount(group[~again], minlength=group[-1] + 1)
+        fresh[group[batch.column("salt").to_numpy() > 0]] += 2
         if group[0] == 0:
             if waiting and fresh[0]:
                 yield waiting.pop()
@@ -139,14 +148,14 @@ def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @frugal
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted contexts. Columns rid, text, wanted (anchor, first, length)."""
+    """The bytes of the wanted contexts. Columns rid, text, wanted (anchor, salt, first, length)."""
     for batch in batches:
         data, offsets = bytesops.utf8(batch.column(1))
         wanted = batch.column(2)
         ends = np.asarray(wanted.offsets)
         ends = ends - ends[0]
         flat = wanted.flatten()
-        anchor, first, length = (np.asarray(flat.field(k)) for k in range(3))
+        anchor, salt, first, length = (np.asarray(flat.field(k)) for k in range(4))
         row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
         rid = batch.column(0).to_numpy()[row]
         start = offsets[row] + first
@@ -156,7 +165,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             upto = np.concatenate([[0], np.cumsum(size)])
             index = np.arange(upto[-1]) + np.repeat(start[s] - upto[:-1], size)
             piece = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(data[index].tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[s]), pa.array(rid[s]), pa.array(first[s]), piece], ["anchor", "rid", "first", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[s]), pa.array(salt[s]), pa.array(rid[s]), pa.array(first[s]), piece], ["anchor", "salt", "rid", "first", "piece"])
 
 
 def suffix_ranks(text: np.ndarray, runs: np.ndarray) -> np.ndarray:
@@ -270,21 +279,21 @@ def _matched(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         done: list[tuple] = []  # whole anchors
         done_size = 0
         now: list[tuple] = []  # of the anchor at hand
-        now_size, at, split = 0, None, False
+        now_size, at, split = 0, (None, 0), False
 
         def flush(rows: list[tuple], anchor: int | None) -> Iterator[pa.RecordBatch]:
             if rows:
                 yield from settle(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], anchor)
 
         for batch in batches:
-            for anchor, rid, first, piece in zip(*(batch.column(x).to_pylist() for x in ("anchor", "rid", "first", "piece")), strict=True):
-                if anchor != at:
+            for anchor, salt, rid, first, piece in zip(*(batch.column(x).to_pylist() for x in ("anchor", "salt", "rid", "first", "piece")), strict=True):
+                if (anchor, salt) != at:
                     if split:
-                        yield from flush(now, at)
+                        yield from flush(now, at[0])
                     else:
                         done += now
                         done_size += now_size
-                    now, now_size, split, at = [], 0, False, anchor
+                    now, now_size, split, at = [], 0, salt > 0, (anchor, salt)
                     if done_size >= block:
                         yield from flush(done, None)
                         done, done_size = [], 0
@@ -292,10 +301,10 @@ def _matched(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 now_size += len(piece)
                 if now_size >= block:
                     split = True
-                    yield from flush(now, at)
+                    yield from flush(now, at[0])
                     now, now_size = [], 0
         if split:
-            yield from flush(now, at)
+            yield from flush(now, at[0])
         else:
             done += now
         yield from flush(done, None)
@@ -332,6 +341,23 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def hot_anchors(rows: DataFrame, n: int) -> DataFrame:
+    """Anchors with many different contexts in a sample of the n rows, and how many tasks
+    share each: (anchor, salts), fewer than HOT rows, kept by the driver."""
+    sample = rows if n <= SAMPLE_TEXTS else rows.sample(SAMPLE_TEXTS / n, 5)
+    met = sample.select("rid", "text").mapInArrow(_placed, ROWS).where("kind = 0")
+    counts = met.select("anchor", "h").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("own"))
+    summed = counts.agg(F.sum("own").alias("total"), F.collect_list(F.when(F.col("own") >= LEAST_HOT, F.struct("own", "anchor"))).alias("many")).first()
+    hot = [(r.anchor, -(-r.own * HOT // summed.total)) for r in summed.many if r.own * HOT >= summed.total]
+    return rows.sparkSession.createDataFrame(hot, "anchor bigint, salts bigint")
+
+
+def _salted(contexts: DataFrame, hot: DataFrame) -> DataFrame:
+    """contexts with salt: 0, or from 1 by the hash of a hot anchor's context."""
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.col("h"), F.col("salts")) + 1).otherwise(0).cast("int")
+    return contexts.join(F.broadcast(hot), "anchor", "left").withColumn("salt", salt).drop("salts")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, spans
     (byte ranges [first, stop) that go).
@@ -351,17 +377,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     else:  # row numbers that grow with the id
         rows = materialise(rows.orderBy(F.col("id").asc_nulls_last(), F.xxhash64("text")).withColumn("rid", F.monotonically_increasing_id()), "rows")
 
-    placed = rows.select("rid", "text").mapInArrow(_placed, ROWS)
+    hot = hot_anchors(rows, ids["all"])
+    placed = _salted(rows.select("rid", "text").mapInArrow(_placed, ROWS), hot)
     # Settled rows need no company; they are spread by their place.
     key = F.when(F.col("kind") == 0, F.col("anchor")).otherwise(F.xxhash64("rid"))
-    met = placed.withColumn("anchor", key).repartition("anchor").sortWithinPartitions("kind", "anchor", "h", "rid", "first")
+    met = placed.withColumns({"anchor": key, "salt": F.when(F.col("kind") == 0, F.col("salt")).otherwise(0)})
+    met = met.repartition("anchor", "salt").sortWithinPartitions("kind", "anchor", "h", "rid", "first")
     sifted = materialise(met.mapInArrow(_sifted_kinds, ROWS), "sifted", free=True)
 
-    wanted = sifted.where("kind = 0").groupBy("rid").agg(F.collect_list(F.struct("anchor", "first", "length")).alias("wanted"))
+    wanted = _salted(sifted.where("kind = 0"), hot).groupBy("rid").agg(F.collect_list(F.struct("anchor", "salt", "first", "length")).alias("wanted"))
     wanted = materialise(wanted, "wanted", free=True)
     texts = only(rows.select("rid", "text"), wanted.select("rid"), "rid")
-    pieces = texts.join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(_cut, "anchor bigint, rid bigint, first int, piece binary")
-    pieces = pieces.repartition("anchor").sortWithinPartitions("anchor", "rid", "first")
+    pieces = texts.join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(_cut, "anchor bigint, salt int, rid bigint, first int, piece binary")
+    pieces = pieces.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "rid", "first")
     matched = materialise(pieces.mapInArrow(_matched(block), MATCHED), "matched", free=True)
     # Of an anchor's blocks: rows with common bytes in several, then their equal windows.
     several = F.count(F.lit(1)).over(Window.partitionBy("anchor", "h"))
@@ -398,7 +426,7 @@ def _sifted_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for batch in batches:
             n = int((batch.column("kind").to_numpy() == 0).sum())
             if n < batch.num_rows:
-                settled.append(batch.slice(n))
+                settled.append(batch.slice(n).select(_NAMES))
             yield batch.slice(0, n)
 
     settled: list[pa.RecordBatch] = []
