@@ -29,14 +29,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document."""
+    """Of equal texts one document; rows that repeat both its id and its text are that
+    document and stay, and so does a row without an id."""
     gone = exact_dedup(docs.select("doc_id", "text")).where("not kept").select("doc_id", "row_hash")
     keyed = docs.withColumn("row_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     return _without(keyed, gone, ["doc_id", "row_hash"]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest id."""
+    """Of linked documents the one with the smallest id, with all rows of that id; rows
+    without an id are linked with nothing and stay."""
     gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
     return _without(docs, gone, ["doc_id"]).select(*docs.columns)
 
@@ -52,7 +54,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What a mix of the sources to their target weights takes of each document."""
+    """What a mix of the sources to their target weights takes of each document: a row for
+    each row of docs, repeated ones too."""
     return mix(docs)
 
 
@@ -67,6 +70,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Null and blank texts are documents like others (equal to
+    each other, so one stays); empty tables give an empty result."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"), free=True)
